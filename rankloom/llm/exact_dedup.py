@@ -54,7 +54,8 @@ def final_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     for k, v in STATE.items():
         spark.conf.set(k, v)
     try:
-        stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)
+        # as a pattern, since a path that is a single file isn't accepted by streams
+        stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(f"{path[:-1]}[{path[-1]}]")
         keep = lambda changed, batch: changed.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/run={batch}")
         query = track(stream, id_col, text_col).writeStream.outputMode("update").option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
