@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, line_dedup, quality, sharding, toxicity
+from . import bpe, decontam, exact_dedup, line_dedup, quality, sharding, toxicity, warc
 from .common import held_out, table
 
 BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -25,6 +25,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.cleaned(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_replay(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -52,6 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
+    "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_bpe": op8_bpe,
@@ -67,6 +72,11 @@ ORACLE_SQL = {
         m as (select k.*, s.first is not null and k.doc_id <> s.first as gone from k left join s using (key))
         select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
         from m group by doc_id""",
+    "op4_warc": """
+        with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+        f as (select *, min(page_id) over (partition by payload_digest) as first from p)
+        select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 100 and page_id <> first then first end as refers_to from f""",
     "op6_exact_dedup": f"""
         with d as (select doc_id, coalesce(text, '') as t, translate(coalesce(text, ''), {BLANKS_SQL}, '') as n from documents),
         r as (select *, first_value(doc_id) over w as keep_id, count(*) over (partition by n) as group_size from d window w as (partition by n order by length(t) desc, doc_id))
