@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, line_dedup, quality, sharding, toxicity, warc
+from . import bpe, decontam, exact_dedup, jaccard, line_dedup, quality, sharding, toxicity, warc
 from .common import held_out, table
 
 BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -40,6 +40,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.families(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, num=85)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.default_path(spark))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
