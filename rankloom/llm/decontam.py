@@ -131,3 +131,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
             yield b.assign(spans=[[{"start": s, "end": e} for s, e in merged([(x["start"], x["end"]) for x in spans])] for spans in b["spans"]])
 
     return in_batches(joined, join, kinds.replace("mark long, ", ""))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """docs, all columns, less those that hold a window of an item."""
+    marked = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_mark"), F.col(text_col).alias("_text"))
+    # the id that goes through the join is the pair of id and text, so that rows that share an id are told apart
+    named = marked.select(F.struct("_id", "_mark").alias("_key"), "_text")
+    bad = contamination(named, benchmark, width, "_key", "_text", item_col, item_text_col).where(F.size("spans") > 0).select("doc_id.*").distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_mark")), "left_anti")

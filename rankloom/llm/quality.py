@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, in_batches
+from .common import held_out, in_batches, ship
 
 ROWS, DIM, NONZERO, REACH = 1 << 14, 32, 2, 2
 #: A worker keeps the codes of so many words.
@@ -211,3 +212,15 @@ class Model:
 
         kind = docs.schema[self.id_col].dataType.simpleString()
         return in_batches(docs.select(F.col(self.id_col).alias("doc_id"), F.col(self.text_col).alias("text")), run, f"doc_id {kind}, score double")
+
+    def accepted(self, docs: DataFrame, least: float = 0.3) -> DataFrame:
+        """The rows of docs, all columns, that score at least `least`."""
+        vectors, network, text_col = self.vectors, self.network, self.text_col
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codes = Codes()
+            for b in batches:
+                yield b.filter(pa.array(network.value.score(pooled(b.column(text_col).to_pylist(), vectors.value, codes)) >= least))
+
+        ship(docs.sparkSession)
+        return docs.mapInArrow(run, docs.schema)
