@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import queries_data, queries_rating
+
+PARTS = (queries_rating, queries_data)
+QUERIES: dict = {k: f for part in PARTS for k, f in part.QUERIES.items()}
+ORACLE_SQL: dict = {k: s for part in PARTS for k, s in part.SQL.items()}
