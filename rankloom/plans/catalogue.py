@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_data, queries_rating
+from . import queries_data, queries_rating, queries_text
 
-PARTS = (queries_rating, queries_data)
+PARTS = (queries_rating, queries_data, queries_text)
 QUERIES: dict = {k: f for part in PARTS for k, f in part.QUERIES.items()}
 ORACLE_SQL: dict = {k: s for part in PARTS for k, s in part.SQL.items()}

@@ -207,6 +207,6 @@ def search(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.search(standins.places(spark, sf).select("k", "name"), "000012", ["name"], [], ["k"])
 
 
-@query("q_min_positive", f"with {SIGNALS_SQL} select k, list_min(list_filter([view, purchase, click], x -> x > 0)) as best from places")
+@query("q_min_positive", f"with {SIGNALS_SQL} select k, list_min(list_filter([view, purchase, click], lambda x: x > 0)) as best from places")
 def min_positive(spark: SparkSession, sf: str) -> DataFrame:
     return standins.places(spark, sf).select("k", ranking.min_positive([F.col("view"), F.col("purchase"), F.col("click")]).alias("best"))
