@@ -37,13 +37,16 @@ from .common import in_batches, scratch, ship, written
 CAPTURE = "url_key string, page_id long, file string, offset long, length long"
 URL = re.compile(r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://)?(?:[^/?#@]*@)?([^/:?#]*)(?::(\d+))?([^#]*)")
 
+BLANK = re.compile(r"[\x00-\x20\x7f]")
+
 
 def url_key(url: str | None) -> str:
     """Host reversed and in small letters, port if it isn't the scheme's, path and query: org,example)/a?b=c."""
     scheme, host, port, rest = URL.match(url or "").groups()
     default = {"http": "80", "https": "443"}.get((scheme or "").lower())
     at = f":{port}" if port and port != default else ""
-    return f"{','.join(reversed(host.lower().removeprefix('www.').split('.')))}{at}){rest or '/'}"
+    key = f"{','.join(reversed(host.lower().removeprefix('www.').split('.')))}{at}){rest or '/'}"
+    return BLANK.sub(lambda m: f"%{ord(m[0]):02X}", key)  # lines and sort keys are cut at blanks
 
 
 def file_at(path: str) -> tuple[pafs.FileSystem, str]:
