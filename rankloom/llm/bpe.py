@@ -35,7 +35,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: A space before white space or at the end; only then may white space of more than one character have a space in it.
 LOOSE_SPACE = re.compile(r" (?!\S)")
 #: No pair, or none that can be merged.
-NONE = np.int64(1 << 62)
+NO_PAIR = 1 << 62
+NONE = np.int64(NO_PAIR)
+#: Fewer pieces of a length than this are merged one by one.
+FEW = 32
 #: A worker keeps the ids of about so many stretches of text, twice.
 CACHED = 400_000
 #: Pieces that are new to a worker are merged in batches of at most so many leaves.
@@ -75,6 +78,8 @@ class Bpe:
         # a stretch of text is one piece or a few that no other text around it changes
         self.known: dict[str, tuple[int, ...]] = {t: (i,) for t, i in self.added.items()}
         self.old: dict[str, tuple[int, ...]] = {}
+        self.rank_of = dict(zip(keys.tolist(), range(len(keys))))
+        self.letters, self.merged_list = self.byte_ids.tolist(), self.merged.tolist()
         self.own = list(range(size))  # one object an id, however often it's kept
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -123,6 +128,44 @@ class Bpe:
         flat, ends = list(map(self.own.__getitem__, ids[alive].tolist())), np.cumsum(counts).tolist()
         return [tuple(flat[e - c : e]) for e, c in zip(ends, counts.tolist())]
 
+    def merge_one(self, piece: bytes) -> tuple[int, ...]:
+        """The same for one piece, without numpy: for long pieces, and where there are few of a length."""
+        ids, n = [self.letters[b] for b in piece], len(piece)
+        wide = 1 << (n - 2).bit_length() if n > 2 else 1
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        tree, ranks, size = [NO_PAIR] * (2 * wide), self.rank_of, self.size
+        for i in range(n - 1):
+            if (rank := ranks.get(ids[i] * size + ids[i + 1])) is not None:
+                tree[wide + i] = rank * wide + i
+        for node in range(wide - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+
+        def put(at: int, value: int) -> None:
+            at += wide
+            tree[at] = value
+            while at > 1:
+                at >>= 1
+                least = min(tree[2 * at], tree[2 * at + 1])
+                if tree[at] == least:
+                    break
+                tree[at] = least
+
+        while n > 1 and tree[1] != NO_PAIR:
+            rank, at = divmod(tree[1], wide)
+            gone = after[at]
+            ids[at], ids[gone] = self.merged_list[rank], -1
+            nxt = after[at] = after[gone]
+            if nxt < n:
+                before[nxt] = at
+            if gone < wide:
+                put(gone, NO_PAIR)
+            rank = ranks.get(ids[at] * size + ids[nxt]) if nxt < n else None
+            put(at, NO_PAIR if rank is None else rank * wide + at)
+            if (prev := before[at]) >= 0:
+                rank = ranks.get(ids[prev] * size + ids[at])
+                put(prev, NO_PAIR if rank is None else rank * wide + prev)
+        return tuple(self.own[i] for i in ids if i >= 0)
+
     @staticmethod
     def _set(tree: np.ndarray, wide: int, rows: np.ndarray, at: np.ndarray, rank: np.ndarray) -> None:
         """Point update: a leaf, then its ancestors."""
@@ -150,6 +193,9 @@ class Bpe:
         for p in fresh:
             by_width.setdefault((len(p.encode()) - 1).bit_length(), []).append(p)
         for bits, group in by_width.items():
+            if len(group) < FEW or bits > 9:
+                known.update((p, self.merge_one(p.encode())) for p in group)
+                continue
             step = max(1, LEAVES >> (bits + 1))
             for i in range(0, len(group), step):
                 some = group[i : i + step]
