@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches
+from .common import in_batches, unused
 
 #: Bytes to bytes: A-Z in lower case; digits, letters and all of UTF-8's longer characters stay; anything else is a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -135,8 +135,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs, all columns, less those that hold a window of an item."""
-    marked = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_mark"), F.col(text_col).alias("_text"))
+    key, mark = unused(docs, "_key", "_mark")
     # the id that goes through the join is the pair of id and text, so that rows that share an id are told apart
-    named = marked.select(F.struct("_id", "_mark").alias("_key"), "_text")
-    bad = contamination(named, benchmark, width, "_key", "_text", item_col, item_text_col).where(F.size("spans") > 0).select("doc_id.*").distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_mark")), "left_anti")
+    named = docs.select(F.struct(F.col(id_col).alias(key), F.xxhash64(text_col).alias(mark)).alias("pair"), F.col(text_col).alias("text"))
+    bad = contamination(named, benchmark, width, "pair", "text", item_col, item_text_col).where(F.size("spans") > 0).select("doc_id.*").distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(mark)), "left_anti")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, remove, scratch, ship, written
+from .common import in_batches, remove, scratch, ship, unused, written
 
 U = np.uint64
 PHI, A, C = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -347,5 +347,6 @@ def _tree_search(family: DataFrame, settled: DataFrame, sets: DataFrame, num: in
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs less all but the first document of each component."""
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    (key,) = unused(docs, "_key")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(keep, F.col(id_col).eqNullSafe(F.col(key)), "left_semi")

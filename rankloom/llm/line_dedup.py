@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let, lower_ascii, written
+from .common import BLANKS, let, lower_ascii, unused, written
 
 #: A line's occurrences are dealt out to so many blocks of documents.
 BLOCKS = 64
@@ -75,10 +75,10 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """docs with text_col less the dropped lines; adds n_lines and n_dropped. A document that loses nothing keeps its text as it is."""
-    maps = keep_bitmaps(docs, id_col, text_col, min_chars).select(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_hash"), F.col("n_dropped").alias("_dropped"), F.col("bitmap").alias("_bitmap"))
-    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.withColumn("_own", own).join(maps, (F.col(id_col) == F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
-    kept = F.when(F.col("_bitmap").isNull(), F.col(text_col)).otherwise(F.array_join(kept_lines(lines_of(F.col(text_col)), F.col("_bitmap")), "\n"))
-    out = rows.withColumns({"n_lines": F.size(lines_of(F.col(text_col))).cast("long"), "n_dropped": F.coalesce("_dropped", F.lit(0)).cast("long"), text_col: kept})
-    return out.drop("_own", "_id", "_hash", "_dropped", "_bitmap")
+    """docs with text_col less the dropped lines; sets n_lines and n_dropped. A document that loses nothing keeps its text as it is."""
+    own, key, mark, lost, bitmap = unused(docs, "_own", "_key", "_mark", "_lost", "_bitmap")
+    maps = keep_bitmaps(docs, id_col, text_col, min_chars).select(F.col("doc_id").alias(key), F.col("doc_hash").alias(mark), F.col("n_dropped").alias(lost), F.col("bitmap").alias(bitmap))
+    rows = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(maps, (F.col(id_col) == F.col(key)) & (F.col(own) == F.col(mark)), "left")
+    kept = F.when(F.col(bitmap).isNull(), F.col(text_col)).otherwise(F.array_join(kept_lines(lines_of(F.col(text_col)), F.col(bitmap)), "\n"))
+    out = rows.withColumns({"n_lines": F.size(lines_of(F.col(text_col))).cast("long"), "n_dropped": F.coalesce(lost, F.lit(0)).cast("long"), text_col: kept})
+    return out.drop(own, key, mark, lost, bitmap)

@@ -181,7 +181,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int,
     """At most max_rows rows to learn from, the first ones by a hash of the id: id, text, label."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     chosen = known.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label")).orderBy(F.xxhash64("_id"), "_id", "label").limit(max_rows)
-    return docs.join(chosen, F.col(id_col) == F.col("_id")).select("_id", F.col(text_col).alias("text"), "label")
+    return docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("text")).join(chosen, F.col("_own") == F.col("_id")).select("_id", "text", "label")
 
 
 class Model:

@@ -168,7 +168,7 @@ class Model:
         known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
         chosen = known.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label")).orderBy(F.xxhash64("_id"), "_id", "label").limit(max_rows)
         part = F.pmod(F.xxhash64(F.lit(3), F.col("_id")), F.lit(10))  # 0-4 lexicon, 5-7 trees, 8-9 calibration
-        rows = docs.join(chosen, F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), "label", F.when(part < 5, 0).when(part < 8, 1).otherwise(2).alias("part"))
+        rows = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("text")).join(chosen, F.col("_own") == F.col("_id")).select("text", "label", F.when(part < 5, 0).when(part < 8, 1).otherwise(2).alias("part"))
         self.lexicon = spark.sparkContext.broadcast(self.learn_lexicon(rows.where("part = 0"), max_terms))
 
         def run(batches: Iterator[pd.DataFrame], lexicon=self.lexicon) -> Iterator[pd.DataFrame]:
