@@ -82,7 +82,7 @@ def query_encoding(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", tx.encoded(F.concat("url", F.lit(" x"))).alias("encoded"))
 
 
-@query("q_json_props", "select event_type, sum((props->>'k')::int) as total, count(*) filter (try_cast(props->>'k' as int) is null) as broken from events group by 1")
+@query("q_json_props", "select event_type, sum((props->>'k')::int)::bigint as total, count(*) filter (try_cast(props->>'k' as int) is null) as broken from events group by 1")
 def json_props(spark: SparkSession, sf: str) -> DataFrame:
     k = F.from_json("props", "k int")["k"]
     return table(spark, sf, "events").groupBy("event_type").agg(F.sum(k).alias("total"), F.count_if(k.isNull()).alias("broken"))
