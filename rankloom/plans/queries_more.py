@@ -126,9 +126,9 @@ def alternative_key(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.best_of_each(hits, ["k"], ["ord"]).select("k", "ord", "s_suppkey")
 
 
-@query("q_point_in_polygon", f"with {PLACES_SQL} select k from places where lat > 35.6 and lat < 35.8 and lng > 139.5 and lng < 139.8 and (lat - 35.6) / 0.2::double > (lng - 139.5) / 0.3::double")
+@query("q_point_in_polygon", f"with {PLACES_SQL} select k from places where lat > 35.6 and lat < 35.8 and lng > 139.5 and lng < 139.8 and (lat - 35.6) / 0.2::double < (lng - 139.5) / 0.3::double")
 def point_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
-    ring = F.array(*(F.struct(F.lit(y).alias("lat"), F.lit(x).alias("lon")) for y, x in ((35.6, 139.5), (35.8, 139.5), (35.8, 139.8))))
+    ring = F.array(*(F.struct(F.lit(y).alias("lat"), F.lit(x).alias("lon")) for y, x in ((35.6, 139.5), (35.6, 139.8), (35.8, 139.8))))
     near = standins.places(spark, sf).where("lat > 35.6 and lat < 35.8 and lng > 139.5 and lng < 139.8")
     return near.where(geo.inside_ring(F.col("lat"), F.col("lng"), ring)).select("k")
 
