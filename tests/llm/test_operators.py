@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.llm import bpe, decontam, exact_dedup, jaccard, line_dedup, pii, quality, registry, sharding, toxicity, warc
-from rankloom.llm.common import in_batches  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD = str.maketrans(UPPER, LOWER)
@@ -135,7 +134,7 @@ def test_pii_base(spark):
 
 def test_pii_terms_and_text(spark):
     rows = [(i, f"plain words number{i} everywhere and again\nwrite to Zorblax at secret@corp.example.com {'please ' * i}now") for i in range(6)]
-    rows += [(50 + i, f"plain words everywhere please now write again {i}") for i in range(40)] + [(99, "Zorblax is not here")] * 0
+    rows += [(50 + i, f"plain words everywhere please now write again {i}") for i in range(40)]
     found = pii.find(frame(spark, rows))
     joined = found.join(frame(spark, rows).select("doc_id", "text"), "doc_id")
     got = {r["doc_id"]: (r["text"], r["added"], r["clean"]) for r in joined.withColumn("clean", pii.sanitised(F.col("text"), F.concat("base", "added"))).collect()}
