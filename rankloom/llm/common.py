@@ -46,8 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that's unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="rankloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        sc = spark.sparkContext
+        found = sc._rankloom_dir = getattr(sc, "_rankloom_dir", None) or tempfile.mkdtemp(prefix="rankloom-")
     return found.rstrip("/")
 
 
