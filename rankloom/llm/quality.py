@@ -199,7 +199,7 @@ class Model:
 
         kind = labels.schema[id_col].dataType.simpleString()
         rows = sorted((r["id"], r["label"], r["x"]) for r in in_batches(labelled(docs, labels, label_col, max_rows, id_col, text_col), run, f"id {kind}, label double, x array<float>").collect())  # max_rows at most
-        self.network = sc.broadcast(Network(np.array([x for *_, x in rows], np.float64).reshape(len(rows), -1), np.array([y for _, y, _ in rows])))
+        self.network = sc.broadcast(Network(np.array([x for *_, x in rows], np.float64).reshape(len(rows), 2 * DIM + 2), np.array([y for _, y, _ in rows])))
 
     def score(self, docs: DataFrame) -> DataFrame:
         """doc_id and score of every row."""

@@ -177,7 +177,7 @@ class Model:
                 yield pd.DataFrame({"part": b["part"], "label": b["label"], "x": [features(t, words) for t in b["text"]]})
 
         got = sorted((r["part"], r["label"], r["x"]) for r in in_batches(rows.where("part > 0"), run, "part int, label double, x array<double>").collect())  # max_rows at most
-        part, y, x = np.array([p for p, *_ in got]), np.array([v for _, v, _ in got]), np.array([v for *_, v in got]).reshape(len(got), -1)
+        part, y, x = np.array([p for p, *_ in got]), np.array([v for _, v, _ in got]), np.array([v for *_, v in got], np.float64).reshape(len(got), len(FEATURES))
         self.share = float(y.mean()) if len(y) else 0.5
         grow, fit = part == 1, part == 2
         self.trees = self.map = None
@@ -212,7 +212,7 @@ class Model:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = Words(lexicon.value)
             for b in batches:
-                x = np.array([features(t, words) for t in b["text"]]).reshape(len(b), -1)
+                x = np.array([features(t, words) for t in b["text"]], np.float64).reshape(len(b), len(FEATURES))
                 score = np.interp(trees.sum(x), *knots) if trees else np.full(len(b), share)
                 yield pd.DataFrame({"doc_id": b["doc_id"], "score": score})
 
