@@ -7,7 +7,7 @@ in the same or in adjoining ranges, are keys that no linked pair fails to share,
 bring together documents that merely share a passage. Each key's nodes are tied to the least of them as they stream by
 in key order, never gathered; what is tied together, directly or not, is a candidate family, and no link leads out of it.
 
-Links with the least node are verified first and joined up, which settles large groups of copies at once. Families that
+Each node's link with one least node is verified first, and these are joined up, which settles large groups of copies at once. Families that
 still fall into several components are searched with signature trees: a node of a tree has the OR of the token bitmaps
 below it and the range of their sizes; two trees, or a tree and itself, are traversed together, and a pair of nodes is
 given up when the greatest overlap that bitmaps and sizes allow is too small, or when all below is one component
@@ -227,7 +227,7 @@ def components(edges: DataFrame, what: str) -> DataFrame:
         path = new
 
 
-def families(docs: DataFrame, n: int = 5, num: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1_000) -> DataFrame:
+def families(docs: DataFrame, n: int = 5, num: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 8_000) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id. Links: 100 * intersection >= num * union of the sets of word n-grams."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -241,7 +241,9 @@ def families(docs: DataFrame, n: int = 5, num: int = 80, id_col: str = "doc_id",
     stars = written(_ties(rows, n, num), "jaccard-ties")
     family = components(stars, "jaccard-families")
     sets = written(_sets_of(rows, named, family, n), "jaccard-sets")
-    links = written(_verified(stars, sets, num), "jaccard-links")
+    # one pair a node, with the least node that it shares most keys with: the searches below look at all others
+    likely = stars.groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u"))
+    links = written(_verified(likely, sets, num), "jaccard-links")
     settled = components(links, "jaccard-settled")
     more = _tree_search(family, settled, sets, num, block)
     joined = components(links.unionByName(more), "jaccard-joined")
@@ -252,7 +254,7 @@ def families(docs: DataFrame, n: int = 5, num: int = 80, id_col: str = "doc_id",
 
 
 def _ties(rows: DataFrame, n: int, num: int) -> DataFrame:
-    """Each key's least node with each of its other nodes, u and v; a task's copies of a set, and of a key with its first node, go out once."""
+    """Each key's least node with each of its other nodes, u and v, and of how many keys; a task's copies of a set, and of a key with its first node, go out once."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         segments, seen = Segments(num), set()
@@ -278,11 +280,11 @@ def _ties(rows: DataFrame, n: int, num: int) -> DataFrame:
             if key[0] == last_key:
                 first[key == last_key] = last_first
             last_key, last_first = key[-1], first[-1]
-            pairs = np.unique(np.stack([first, node], axis=1)[first != node], axis=0)
-            yield pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+            pairs, n = np.unique(np.stack([first, node], axis=1)[first != node], axis=0, return_counts=True)
+            yield pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1], "n": n})
 
     keyed = in_batches(rows.select("text"), emit, "key long, node long")
-    return in_batches(keyed.repartition("key").sortWithinPartitions("key", "node"), tie, "u long, v long").distinct()
+    return in_batches(keyed.repartition("key").sortWithinPartitions("key", "node"), tie, "u long, v long, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
 
 
 def _sets_of(rows: DataFrame, named: DataFrame, family: DataFrame, n: int) -> DataFrame:
@@ -295,7 +297,8 @@ def _sets_of(rows: DataFrame, named: DataFrame, family: DataFrame, n: int) -> Da
             found = [(node, s.tobytes()) for node, s in zip(b["node"], (shingles(t, n) for t in b["text"])) if len(s) and set_name(s) == node]
             yield pd.DataFrame(found, columns=["node", "tokens"])
 
-    return in_batches(rows.join(holder, rows["doc_id"].eqNullSafe(holder["_id"])).select("node", "text"), read, "node long, tokens binary").dropDuplicates(["node"])
+    found = in_batches(rows.join(holder, rows["doc_id"].eqNullSafe(holder["_id"])).select("node", "text"), read, "node long, tokens binary").dropDuplicates(["node"])
+    return found.withColumn("size", F.length("tokens") / 8)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
@@ -320,13 +323,13 @@ def _tree_search(family: DataFrame, settled: DataFrame, sets: DataFrame, num: in
     own = F.col("here") > block
     number = F.when(own, F.pmod(F.xxhash64("node"), F.ceil(F.col("here") / block))).otherwise(F.pmod(F.xxhash64("component"), F.greatest(F.ceil(F.col("rest") / block), F.lit(1))))
     dealt = dealt.select("node", "family", "component", F.when(own, F.col("component")).alias("of"), number.cast("long").alias("number"))
-    members = written(dealt.join(sets, "node").withColumn("size", F.length("tokens") / 8), "jaccard-members")
-    blocks = members.groupBy("family", "of", "number").agg(F.min("size").alias("lo"), F.max("size").alias("hi")).withColumn("block", F.xxhash64("family", "of", "number"))
+    dealt = written(dealt, "jaccard-dealt")  # without the sets, which are in a table already
+    blocks = dealt.join(sets.select("node", "size"), "node").groupBy("family", "of", "number").agg(F.min("size").alias("lo"), F.max("size").alias("hi")).withColumn("block", F.xxhash64("family", "of", "number"))
     a, b = (blocks.select("family", *(F.col(c).alias(f"{c}_{side}") for c in ("of", "number", "lo", "hi", "block"))) for side in "ab")
     t = num / 100
     meet = a.join(b, "family").where((F.col("block_a") <= F.col("block_b")) & ~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False)) & (F.col("lo_a") * t <= F.col("hi_b")) & (F.col("lo_b") * t <= F.col("hi_a")))
     meet = meet.select("family", "block_a", "block_b", F.xxhash64("block_a", "block_b").alias("pair"))
-    held = members.withColumn("block", F.xxhash64("family", "of", "number")).select("node", "component", "tokens", "block")
+    held = dealt.join(sets.select("node", "tokens"), "node").withColumn("block", F.xxhash64("family", "of", "number")).select("node", "component", "tokens", "block")
     left = held.join(meet.select("pair", "block_a", "block_b"), F.col("block") == F.col("block_a")).select("pair", "node", "component", "tokens", (F.col("block_a") == F.col("block_b")).alias("same"))
     right = held.join(meet.where("block_a <> block_b").select("pair", "block_b"), F.col("block") == F.col("block_b")).select(F.col("pair").alias("of_pair"), F.col("node").alias("node_b"), F.col("component").alias("component_b"), F.col("tokens").alias("tokens_b"))
 
@@ -341,7 +344,7 @@ def _tree_search(family: DataFrame, settled: DataFrame, sets: DataFrame, num: in
                 found = [(int(name_a[p]), int(name_b[q])) for p, q in tree_links(a, b, num, same)]
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
-    ship(members.sparkSession)
+    ship(sets.sparkSession)
     return written(left.groupBy("pair").cogroup(right.groupBy("of_pair")).applyInPandas(search, "u long, v long"), "jaccard-tree-links")
 
 
