@@ -2,9 +2,14 @@
 
 After Sanchez and Batet (C-sanitized, 2016): an entity e (a value of some kind: one e-mail address, one card) has the
 information log(1/p(e)); a term t that is found near it reveals PMI(e; t) = log(p(e|t)/p(e)) of that, with p(e|t) the
-share of all of t's occurrences in the corpus that are near e. A term discloses e when this is at least `generalise` of
-e's information, with at least `support` different surroundings in as many different texts to show for it; from `remove` on it is removed rather
-than generalised. Such terms are marked in the documents that hold e, wherever they are in the text.
+share of all of t's occurrences in the corpus that are in texts where t is near e, shrunken by one occurrence elsewhere. A
+term discloses e when this is at least `generalise` of e's information; from `remove` on it is removed rather than
+generalised. Such terms are marked in the documents that hold e, wherever they are in the text.
+
+How much must be seen depends on how rare both are: the pair is in two or more texts with different surroundings, and that
+so many of t's occurrences were near e, the first set aside, would happen by chance to at most `chance` pairs of the corpus
+(Chernoff's bound, times the number of pairs). One text alone can't show this; there a term counts that is written as a
+name, inside a sentence or as all that stands before e on its line, and that occurs in no text without e near it.
 
 Base patterns are taken leftmost, without overlap within a kind; possessive forms and look-behinds only keep the regular
 expressions from starting over inside a run that has failed as a whole, and change no match.
@@ -16,6 +21,8 @@ are ignored. All on DataFrame functions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +37,10 @@ PATTERNS = {
 }
 #: What a text must have for a pattern to be tried.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
-TERM = r"\p{L}{4,}"
+TERM = r"\p{L}{3,}|(?<!\p{L})\p{Lu}\p{L}"
+#: Terms written as a name: with a capital, and not where a sentence begins; and what is before an entity if it's but names.
+NAME = r"(?<=[\p{L}\p{N},;:(<-] {0,4})(?<!\p{L})\p{Lu}\p{L}+"
+ONLY_NAMES = r"^\P{L}{0,3}\p{Lu}\p{L}+(?:\P{L}{1,3}\p{Lu}\p{L}+){0,3}\P{L}{0,3}$"
 #: So many characters on either side, within the line, are an entity's surroundings.
 AROUND = 150
 SPAN = "array<struct<kind: string, start: int, end: int, value: string, before: string, after: string>>"
@@ -96,29 +106,47 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), value)
 
 
-def disclosing_terms(base: DataFrame, docs: DataFrame, text_col: str, support: int, generalise: float, remove: float) -> DataFrame:
+def terms_of(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
+
+
+def disclosing_terms(base: DataFrame, docs: DataFrame, text_col: str, chance: float, generalise: float, remove: float) -> DataFrame:
     """entity, term, share (of the entity's information that the term reveals) and action, from counts over all documents."""
-    held = base.select("text_mark", F.explode("base").alias("s")).select("text_mark", entity(F.col("s")).alias("entity"), F.xxhash64("s.before", "s.after").alias("surroundings"), F.concat_ws(" ", "s.before", "s.after").alias("context"))
-    near = held.select("entity", "text_mark", "surroundings", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("context"), F.lit(TERM), F.lit(0)))).alias("term"))
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.countDistinct("surroundings").alias("ways"), F.countDistinct("text_mark").alias("texts")).where((F.col("ways") >= support) & (F.col("texts") >= support))
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0))).alias("term"))
-    counted = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    pairs, counted = written(pairs, "pii-pairs"), written(counted, "pii-terms")
-    total = counted.agg(F.sum("n_term")).first()[0] or 1
-    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    spans = base.select("text_mark", F.explode("base").alias("s"))
+    context = F.concat_ws(" ", "s.before", "s.after")
+    names = F.concat(F.transform(F.regexp_extract_all(context, F.lit(NAME), F.lit(0)), F.lower), F.when(F.col("s.before").rlike(ONLY_NAMES), terms_of(F.col("s.before"))).otherwise(F.expr("cast(array() as array<string>)")))
+    held = spans.select("text_mark", entity(F.col("s")).alias("entity"), F.xxhash64("s.before", "s.after").alias("surroundings"), terms_of(context).alias("terms"), names.alias("names"))
+    near = held.select("entity", "text_mark", "surroundings", "names", F.explode(F.array_distinct("terms")).alias("term")).select("entity", "term", "text_mark", "surroundings", F.array_contains("names", F.col("term")).alias("named"))
+    near = written(near.distinct(), "pii-near")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    counted = written(docs.select(F.explode(terms_of(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "pii-terms")
+    # all occurrences in a text where the term is near the entity once; copies of a text count as often as in n_term
+    inside = docs.join(near.select("text_mark").distinct(), "text_mark", "left_semi").select("text_mark", F.explode(terms_of(text)).alias("term")).groupBy("text_mark", "term").agg(F.count("*").alias("n_inside"))
+    both = near.select("entity", "term", "text_mark").distinct().join(inside, ["text_mark", "term"]).groupBy("entity", "term").agg(F.sum("n_inside").alias("n_both"))
+    seen = near.groupBy("entity", "term").agg(F.countDistinct("surroundings").alias("ways"), F.countDistinct("text_mark").alias("texts"), F.max("named").alias("named"))
+    pairs = written(seen.join(both, ["entity", "term"]), "pii-pairs")
+    total, n_pairs = counted.agg(F.sum("n_term")).first()[0] or 1, pairs.count()
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity"), F.sum(F.size("terms")).alias("n_near"))
     information = F.log(F.lit(float(total)) / F.col("n_entity"))
-    share = 1 + F.log(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))) / information
-    found = pairs.join(counted, "term").join(entities, "entity").where(information > 0).select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    share = 1 + F.log((F.col("n_both") / (F.col("n_term") + 1))) / information
+    # of the occurrences but the first: how many there are, counting each text with e once, and the share of those with e
+    shown = F.least("ways", "texts")
+    further = (shown - 1 + F.greatest(F.col("n_term") - F.col("n_both"), F.lit(0))).cast("double")
+    p, q = (shown - 1) / further, F.least(F.col("n_near") / float(total), F.lit(1.0))
+    surprise = further * (p * F.log(p / q) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - q))).otherwise(0.0))
+    unlikely = F.when((shown >= 2) & (q < 1), (p > q) & (surprise >= math.log(max(n_pairs, 1) / chance))).otherwise(False)
+    own = F.col("named") & (F.col("n_both") == F.col("n_term"))
+    found = pairs.join(counted, "term").join(entities, "entity").where((information > 0) & (unlikely | own)).select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
     return written(found.withColumn("action", F.when(F.col("share") >= remove, "removed").otherwise("generalised")), "pii-disclosing")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, generalise: float = 0.9, remove: float = 0.97) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chance: float = 1.0, generalise: float = 0.9, remove: float = 0.97) -> DataFrame:
     """A row per document: doc_id, text_mark (a hash of the text), base and added spans (kind, start, end, value; added ones are of kind term, with their action)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_mark"))
     base = written(rows.select("doc_id", "text_mark", base_spans(F.col("text")).alias("base")), "pii-base")
     some = base.where(F.size("base") > 0)
-    terms = disclosing_terms(some, rows, "text", support, generalise, remove)
+    terms = disclosing_terms(some, rows, "text", chance, generalise, remove)
     shared = some.select("doc_id", "text_mark", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")).join(terms, "entity")
     actions = shared.groupBy("doc_id", "text_mark", "term").agg(F.max("action").alias("action"))
     wanted = actions.groupBy("doc_id", "text_mark").agg(F.collect_list(F.struct("term", "action")).alias("wanted"))

@@ -145,6 +145,28 @@ def test_pii_terms_and_text(spark):
     assert all(not got[50 + i][1] and got[50 + i][2] == got[50 + i][0] for i in range(40))
 
 
+def test_pii_rare_entities(spark):
+    """One or two texts with an entity are enough for a name; chance words near it and far copies of nothing stay."""
+    plain = [(100 + i, f"the people of this town buy bread and milk, number {i}, and walk home again") for i in range(300)]
+    rows = [
+        (1, "the people ask Brelmo at one@corp.example.com for bread and oddword again\nlater Brelmo walks home"),
+        (2, "call flurb under two@corp.example.com and buy bread"),
+        (3, "again flurb then two@corp.example.com for milk of this town"),
+        (4, "people ask Xu at four@corp.example.com for milk"),
+        *plain,
+    ]
+    texts = dict(rows)
+    found = pii.find(frame(spark, rows)).collect()
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["added"]] for r in found if r["added"]}
+    assert got == {1: ["Brelmo", "Brelmo"], 2: ["flurb"], 3: ["flurb"], 4: ["Xu"]}
+
+
+def test_pii_copies_are_no_evidence(spark):
+    """A chance word in many copies of a single text isn't shown by them."""
+    rows = [(i, "buy bread from oddword now at one@corp.example.com again") for i in range(9)] + [(100 + i, f"buy bread now and again from here {i}") for i in range(200)]
+    assert not any(r["added"] for r in pii.find(frame(spark, rows)).collect())
+
+
 def test_pii_empty(spark):
     assert pii.find(frame(spark, []).limit(0)).count() == 0
 
