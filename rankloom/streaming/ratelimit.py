@@ -5,29 +5,31 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
-def accepted_flags(times: Column, gap: int) -> Column:
-    """Sorted times to (t, ok), in one fold; times and gap in the same unit."""
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.expr("cast(array() as array<struct<t: bigint, ok: boolean>>)").alias("out"))
-
-    def step(acc: Column, t: Column) -> Column:
-        ok = acc["last"].isNull() | (t - acc["last"] >= gap)
-        return F.struct(F.when(ok, t).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(F.struct(t.alias("t"), ok.alias("ok")))).alias("out"))
-
-    return F.aggregate(times, start, step, lambda acc: acc["out"])
-
-
 def rate_limited(rows: DataFrame, key: str, time: str, gap: int) -> DataFrame:
-    """key, t, ok of rows at rest. A row at least a gap after the one before it is accepted whatever came earlier, so a key's rows are folded in pieces between such rows."""
-    w = Window.partitionBy(key).orderBy(time)
-    free = F.coalesce(F.col(time) - F.lag(time).over(w) >= gap, F.lit(True))
-    bursts = rows.select(key, time).withColumn("_free", free).withColumn("_burst", F.sum(F.col("_free").cast("int")).over(w))
-    folded = bursts.groupBy(key, "_burst").agg(F.array_sort(F.collect_list(time)).alias("ts"))
-    return folded.select(key, F.explode(accepted_flags(F.col("ts"), gap)).alias("x")).select(key, "x.t", "x.ok")
+    """key, t, ok of rows at rest, each key's sorted rows folded as a stream that carries only the last accepted time."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = last = None  # the key, as a tuple once there is one, and its last accepted time
+        for b in batches:
+            ok = []
+            for k, t in zip(b["k"].array, b["t"].array):
+                k = None if pd.isna(k) else k
+                t = None if pd.isna(t) else int(t)
+                if at != (k,):
+                    at, last = (k,), None
+                free = last is None or t is None or t - last >= gap
+                last = t if free and t is not None else last
+                ok.append(free)
+            yield b.assign(ok=ok)
+
+    kind = rows.schema[key].dataType.simpleString()
+    dealt = rows.select(F.col(key).alias("k"), F.col(time).cast("long").alias("t")).repartition("k").sortWithinPartitions("k", "t")
+    return dealt.mapInPandas(fold, f"k {kind}, t long, ok boolean").select(F.col("k").alias(key), "t", "ok")
 
 
 class Limiter(StatefulProcessor):

@@ -93,6 +93,17 @@ def test_rate_limit_is_the_fold(spark):
     assert sorted(map(tuple, ratelimit.rate_limited(df, "ip", "t", 20).collect())) == sorted(expected)
 
 
+def test_rate_limit_long_burst(spark):
+    """A key without any pause isn't gathered: 300,000 rows 1 apart, every 20th accepted, with plain batches in the plan."""
+    n = 300_000
+    df = spark.range(n).select(F.lit("a").alias("ip"), F.col("id").alias("t")).unionByName(spark.createDataFrame([("b", 5)], "ip string, t long"))
+    out = ratelimit.rate_limited(df, "ip", "t", 20)
+    plan = out._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "Window" not in plan
+    ok = out.where("ok").agg(F.count("*").alias("n"), F.count_if((F.col("t") % 20 != 0) & (F.col("ip") == "a")).alias("wrong")).first()
+    assert tuple(ok) == (n // 20 + 1, 0) and out.count() == n + 1
+
+
 def test_rate_limit_stream(spark, tmp_path):
     t = 1_700_000_000_000
     spark.createDataFrame([("a", t + d) for d in (0, 2000, 3000, 5400, 5600)] + [("b", t + 1)], "ip string, t_ms long").coalesce(1).write.parquet(str(tmp_path / "in"))
