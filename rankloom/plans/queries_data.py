@@ -246,6 +246,19 @@ def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     return errors.select("pid", to_places(F.col("mae"), 6).alias("mae")).orderBy("mae", "pid").limit(1)
 
 
+@query("q_grid_search_all", f"""with {PLACES_SQL}, t as (select {km_sql('lat', 'lng', S_LAT, S_LNG)} as km, (k + s_suppkey) % 3 as tr, (10 + (k + 7 * s_suppkey) % 50)::double as truth from places, supplier where s_suppkey < 5),
+    g as (select row_number() over (order by c, a, b, f, x, p) - 1 as pid, * from (select unnest([1.20, 1.25, 1.30, 1.35, 1.40])::double as c), (select unnest([22, 25, 28])::double as a), (select unnest([30, 33, 36])::double as b), (select unnest([36, 40, 44])::double as f), (select unnest([44, 48, 52, 56])::double as x), (select unnest([6, 8, 10])::double as p)),
+    e as (select pid, c, a, b, f, x, p, avg(abs(greatest(3, round_even(km * c / case when km < 5 then a when km < 15 then b when km < 35 then f else x end * 60 + tr * p, 0)) - truth)) as mae from t, g group by all)
+    select pid, c as circuity, a as close, b as mid, f as far, x as express, p as penalty, floor(mae * 1e6 + 0.5) / 1e6 as mae from e order by mae, pid limit 1""")
+def grid_search_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole search: 1,620 sets, five hubs."""
+    hubs = points(spark, sf).where("p < 5").withColumnRenamed("p", "hub")
+    p = standins.places(spark, sf).select("k", "lat", "lng").crossJoin(F.broadcast(hubs))  # five hubs
+    km = geo.haversine_km(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"))
+    truth = p.select(km.alias("km"), ((F.col("k") + F.col("hub")) % 3).alias("transfers"), (10 + (F.col("k") + 7 * F.col("hub")) % 50).alias("truth"))
+    return spatial.calibrated(truth).withColumn("mae", to_places(F.col("mae"), 6))
+
+
 @query("q_tile_xy", f"with {PLACES_SQL} select k, floor((lng + 180) / 360 * 16384.0::double)::bigint as x, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16384.0::double)::bigint as y from places")
 def tile_xy(spark: SparkSession, sf: str) -> DataFrame:
     return standins.places(spark, sf).select("k", geo.tile_x(F.col("lng")).alias("x"), geo.tile_y(F.col("lat")).alias("y"))

@@ -65,6 +65,27 @@ def test_radius_join_is_the_cross_join(spark):
     assert sorted(near.collect()) == sorted(brute.collect()) and near.count() > 10
 
 
+def test_calibration_is_the_whole_search(spark):
+    """The parameters that made the times are found again, and the first least set of a search of all 1,620 by hand on others."""
+    import itertools
+
+    sets = list(itertools.product((1.20, 1.25, 1.30, 1.35, 1.40), (22, 25, 28), (30, 33, 36), (36, 40, 44), (44, 48, 52, 56), (6, 8, 10)))
+    assert len(sets) == 1620
+
+    def minutes(km, tr, s):
+        speed = s[1] if km < 5 else s[2] if km < 15 else s[3] if km < 35 else s[4]
+        return max(3, round(km * s[0] / speed * 60 + tr * s[5]))
+
+    rng = random.Random(8)
+    places = [(rng.random() * 60, rng.randrange(3)) for _ in range(60)]
+    for made in ([minutes(km, tr, (1.35, 22, 36, 44, 56, 6)) for km, tr in places], [rng.randrange(5, 90) for _ in places]):
+        df = spark.createDataFrame([(*x, y) for x, y in zip(places, made)] + [(1.0, 0, None)], "km double, transfers int, truth long")
+        errors = [sum(abs(minutes(*x, s) - y) for x, y in zip(places, made)) for s in sets]
+        best = errors.index(min(errors))
+        got = spatial.calibrated(df).first()
+        assert tuple(got)[:7] == (best, *sets[best]) and abs(got["mae"] - errors[best] / 60) < 1e-9
+
+
 def test_overlay_and_updates(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     more = spark.createDataFrame([(2, "x"), (3, "c")], "k int, v string")
