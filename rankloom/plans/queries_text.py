@@ -95,7 +95,7 @@ def html_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q_doc_validity", """select doc_id, array_to_string(list_filter([case when lang = 'fr' then 'missing en' end, case when lang <> 'fr' and doc_id % 4 = 0 then 'en.food missing' end, case when lang <> 'fr' and doc_id % 4 <> 0 and trim(case when doc_id % 5 = 0 then ' ' else left(text, 20) end) = '' then 'en.food empty' end], lambda x: x is not null), ',') as issues from documents""")
 def doc_validity(spark: SparkSession, sf: str) -> DataFrame:
-    food = F.when(F.col("doc_id") % 4 != 0, F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.left("text", F.lit(20))))
+    food = F.when(F.col("doc_id") % 4 != 0, F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("text")))
     docs = table(spark, sf, "documents").select("doc_id", F.when(F.col("lang") != "fr", F.struct(food.alias("food"))).alias("en"))
     return docs.select("doc_id", F.array_join(documents.document_issues(("en",), ("food",)), ",").alias("issues"))
 

@@ -93,6 +93,14 @@ def test_overlay_and_updates(spark):
     assert sorted(map(tuple, joins.updated(base, more, "k", ["v"]).collect())) == [(1, "a"), (2, "x")]
 
 
+def test_doc_validity_takes_the_whole_text(spark, tmp_path):
+    from rankloom.plans import catalogue
+
+    spark.createDataFrame([(1, "en", " " * 20 + "late"), (2, "en", " " * 30), (3, "en", "early")], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["issues"] for r in catalogue.QUERIES["q_doc_validity"](spark, str(tmp_path)).collect()}
+    assert got == {1: "", 2: "en.food empty", 3: ""}
+
+
 def test_rate_limit(spark):
     t = 1_700_000_000_000
     rows = spark.createDataFrame([("a", t + d) for d in (0, 2000, 3000, 5400, 5600)], "ip string, t_ms long")
