@@ -24,12 +24,13 @@ import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_batches, scratch, ship, written
@@ -109,9 +110,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100) -> DataFrame
     return written(in_batches(marked.select("page_id", "url", "html", "digest", "first"), run, CAPTURE), "captures")
 
 
-def line_of(key: str, page_id: int | None) -> str:
-    """Sort key of a capture; ids are padded so that text order is their order."""
-    return f"{key} {'~' if page_id is None else f'{page_id:020d}'}"
+def padded(page_id: Column) -> Column:
+    """The id's part of a sort key, for the index and the lookup: moved up by 2**63 and padded, so that text order is the order of ids; nulls are last."""
+    return F.coalesce(F.lpad((page_id.cast("decimal(20,0)") + F.lit(Decimal(2**63))).cast("string"), 20, "0"), F.lit("~"))
 
 
 class Index:
@@ -138,7 +139,7 @@ class Index:
             if held:
                 yield block(held)
 
-        sort_key = F.concat("url_key", F.lit(" "), F.when(F.col("page_id").isNull(), "~").otherwise(F.lpad(F.col("page_id").cast("string"), 20, "0")))
+        sort_key = F.concat("url_key", F.lit(" "), padded(F.col("page_id")))
         lines = captures.select(sort_key.alias("sort_key"), "file", "offset", "length")
         ranged = lines.repartitionByRange("sort_key").sortWithinPartitions("sort_key")
         self.blocks = written(in_batches(ranged, cut, "block long, first_key string, n int, lines binary"), "capture-blocks")
@@ -153,7 +154,7 @@ class Index:
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keys, blocks = directory.value
             for b in batches:
-                sort_key = [line_of(url_key(u), None if pd.isna(p) else int(p)) for u, p in zip(b["url"], b["page_id"])]
+                sort_key = [f"{url_key(u)} {p}" for u, p in zip(b["url"], b["padded"])]
                 # equal keys may run on over blocks: all blocks from the last one that begins below the key to the last that doesn't begin above it
                 spans = [(max(bisect_left(keys, k) - 1, 0), bisect_right(keys, k)) for k in sort_key]
                 out = [(k, int(blocks[i])) for k, (lo, hi) in zip(sort_key, spans) for i in range(lo, max(hi, lo))]
@@ -169,7 +170,7 @@ class Index:
                         out.append((k, lines[i][1], int(lines[i][2]), int(lines[i][3])))
             return pd.DataFrame(out, columns=["sort_key", "file", "offset", "length"])
 
-        found = in_batches(wanted.select("url", "page_id"), search, "sort_key string, block long")
+        found = in_batches(wanted.select("url", padded(F.col("page_id")).alias("padded")), search, "sort_key string, block long")
         ship(wanted.sparkSession)
         return found.groupBy("block").cogroup(self.blocks.groupBy("block")).applyInPandas(read, "sort_key string, file string, offset long, length long")
 

@@ -202,6 +202,14 @@ def test_warc_lookup(spark):
     assert {(r["page_id"], bytes(r["payload"])) for r in got.collect()} == {(3, b"body 3"), (899 if 899 % 7 == 1 else 3, b"body 899" if 899 % 7 == 1 else b"body 3")}
 
 
+def test_warc_negative_ids(spark):
+    ids = [-(2**63), -12, -5, -1, 0, 5, 12, 2**63 - 1]
+    pages = spark.createDataFrame([(i, "http://a.example.com/", f"body {i}") for i in ids], "page_id long, url string, html string")
+    assert sorted(r["page_id"] for r in warc.archive_and_replay(pages).collect()) == ids
+    keyed = spark.createDataFrame([(i,) for i in [*ids, None]], "i long").select("i", warc.padded(F.col("i")).alias("k")).orderBy("k").collect()
+    assert [r["i"] for r in keyed] == [*ids, None]
+
+
 def test_url_keys():
     assert warc.url_key("HTTP://user@WWW.Example.COM:80/a?b=C#d") == "com,example)/a?b=C"
     assert warc.url_key("https://x.org:8443") == "org,x:8443)/"
