@@ -200,7 +200,7 @@ class Bpe:
             for i in range(0, len(group), step):
                 some = group[i : i + step]
                 known.update(zip(some, self.merge([p.encode() for p in some])))
-        known.update((u, tuple(chain.from_iterable(map(known.__getitem__, pieces)))) for u, pieces in cut.items() if len(pieces) > 1)
+        known.update((u, tuple(chain.from_iterable(map(known.__getitem__, pieces)))) for u, pieces in cut.items() if len(pieces) != 1)
 
     def stretches(self, text: str) -> list[str]:
         """The text cut up where no piece can cross: before each space if what follows is never white space, else at every piece; added tokens are cut out first."""
@@ -212,7 +212,8 @@ class Bpe:
             return out + self.split.findall(text[at:])
         if "\0" in text or LOOSE_SPACE.search(text):
             return self.split.findall(text)
-        return text.replace(" ", "\0 ").split("\0") if text else []
+        cut = text.replace(" ", "\0 ").split("\0")
+        return cut if cut[0] else cut[1:]  # nothing is before a space that the text begins with
 
     def encode_batch(self, texts: Iterable[str]) -> Iterator[list[int]]:
         """ids of each text; texts are taken a few at a time, so that long ones don't add up."""

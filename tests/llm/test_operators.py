@@ -366,6 +366,20 @@ def test_bpe_is_the_library(spark):
     assert all(digests[i]["n_tokens"] == len(x) and digests[i]["ids_sha256"] == sha(",".join(map(str, x))) and digests[i]["decoded_sha256"] == sha(texts[i] or "") for i, x in ids.items())
 
 
+def test_bpe_texts_that_begin_with_a_space():
+    from tokenizers import Tokenizer
+
+    path = bpe.default_path(None)
+    library, own = Tokenizer.from_file(path), bpe.of(path)
+    rng = random.Random(9)
+    texts = [" a", " hello world", " hello", " ", "  ", " \n", "a ", " a ", " 1", " ...", "\n a b"]
+    texts += ["".join(rng.choice([" ", "a", "the", "é", "1", ".", "\n", "🙂", "'s", "<|endoftext|>"]) for _ in range(rng.randrange(1, 9))) for _ in range(5000)]
+    texts += [" " + " ".join(words(rng, rng.randrange(1, 6))) for _ in range(300)]
+    for text, ids in zip(texts, own.encode_batch(texts)):
+        assert ids == library.encode(text, add_special_tokens=False).ids, repr(text)
+        assert own.decode(ids) == library.decode(ids, skip_special_tokens=False), repr(text)
+
+
 # --- sharding -------------------------------------------------------------------------------------------------------
 
 
