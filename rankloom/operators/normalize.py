@@ -1,7 +1,8 @@
 """Tie-aware percentile ratings, percentile anchors and other order statistics, without a global single-task window.
 
-Values are first counted, so what is ordered is the distinct values with their counts. Those are summed up in two levels:
-within ranges of values, which Spark deals out by sampling, and over the ranges. No task sees more than its own range.
+Values are first counted, so what is ordered is the distinct values with their counts. Those are dealt out in ranges, as
+many as Spark makes of their bytes, and kept as a table; they are summed up inside ranges and over the ranges. No task sees
+more than its own range, whether there is one group or there are many.
 """
 
 from __future__ import annotations
@@ -10,93 +11,75 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import half_even
+from ..sources.stages import kept
 
 
-#: Ordered values are dealt out to so many ranges.
-RANGES = 16
+def running(df: DataFrame, keys: list[str], order: list[str | Column], amount: Column, out: str) -> DataFrame:
+    """df with out and total: per key the sum of amount over all rows before in the order, and over all rows."""
+    ordered = df.repartitionByRange(*map(F.col, keys), *order).sortWithinPartitions(*keys, *order).withColumn("_part", F.spark_partition_id())
+    ranged = kept(ordered, "ranges")  # a range's number must not change from here on
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_part", *keys).agg(F.sum(amount).alias("_size"))  # a row for each range, and one more for each key
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("_size").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", *keys, before.alias("_offset"), F.sum("_size").over(group).alias("total"))
+    summed = ranged.withColumn(out, F.coalesce(F.sum(amount).over(inside), F.lit(0))).join(offsets, ["_part", *keys])
+    return summed.withColumn(out, F.col(out) + F.col("_offset")).drop("_part", "_offset")
 
 
-def range_number(df: DataFrame, value: str, ranges: int = RANGES) -> Column:
-    """The range, from 0, that a value falls into; ranges are of about equal numbers of rows, by approximate quantiles of all of df."""
-    shares = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(df.agg(F.percentile_approx(value, shares)).first()[0] or []))  # `ranges` numbers at most
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(value))) if bounds else F.lit(0)
+def counted(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """Per key v, n, before and total: each value, how many rows have it, how many a smaller one, and how many there are. Null values are left out."""
+    keys = keys or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    return running(counts, keys, ["v"], F.col("n"), "before")
 
 
-def running(df: DataFrame, part: str, order: list[str], amount: Column, out: str) -> DataFrame:
-    """df with out: the sum of amount over all rows of smaller parts, and in its own part over those before it."""
-    inside = df.withColumn(out, F.coalesce(F.sum(amount).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sizes = df.groupBy(part).agg(F.sum(amount).alias("_size"))  # a row for each range
-    offsets = sizes.select(F.col(part).alias("_part"), F.coalesce(F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    return inside.join(F.broadcast(offsets), F.col(part) == F.col("_part")).withColumn(out, F.col(out) + F.col("_offset")).drop("_part", "_offset")
-
-
-def counted(df: DataFrame, value: str) -> DataFrame:
-    """v, n, and before: how many rows of df have a smaller value. Null values are left out."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    return running(counts.withColumn("part", range_number(counts, "v")), "part", ["v"], F.col("n"), "before").select("v", "n", "before")
+def _rated(share_low: Column, invert: Column) -> Column:
+    share = F.when(invert, 1 - share_low).otherwise(share_low)
+    return F.greatest(F.lit(1), F.least(F.lit(10), half_even(share * 9 + 1))).cast("int")
 
 
 def percentile_rating(df: DataFrame, value: str, out: str, invert: bool = False) -> DataFrame:
-    """df with out: 1 to 10 by the middle rank of a value's ties; null for null."""
-    ranks = counted(df, value)
-    total = ranks.agg(F.sum("n").alias("total"))
+    """df with out: 1 to 10 by the middle rank of a value's ties; null for null. df is computed once."""
+    rows = kept(df, "rated-rows")
     share = (F.col("before") + (F.col("n") - 1) / 2.0) / F.greatest(F.col("total") - 1, F.lit(1))
-    share = 1 - share if invert else share
-    rated = ranks.crossJoin(F.broadcast(total)).select(F.col("v").alias("_v"), F.greatest(F.lit(1), F.least(F.lit(10), half_even(share * 9 + 1))).cast("int").alias(out))
-    return df.join(rated, F.col(value) == F.col("_v"), "left").drop("_v")
+    rated = counted(rows, value).select(F.col("v").alias("_v"), _rated(share, F.lit(invert)).alias(out))
+    return rows.join(rated, F.col(value) == F.col("_v"), "left").drop("_v")
 
 
 def percentile_ratings(df: DataFrame, key: str, of: dict[str, tuple[str, bool]]) -> DataFrame:
-    """df with a rating for each name, of (value column, whether low is good), all in one pass: values in long form, counted and ranked per name and range."""
-    names = list(of)
-    shares = [i / RANGES for i in range(1, RANGES)]
-    bounds = df.agg(*(F.percentile_approx(of[n][0], shares).alias(n) for n in names)).first()  # RANGES numbers a name
+    """df with a rating for each name, of (value column, whether low is good), all in one pass: values in long form, counted and ranked per name and range. df is computed once."""
+    names, rows = list(of), kept(df, "rated-rows")
     entries = F.array(*(F.struct(F.lit(n).alias("name"), F.col(of[n][0]).cast("double").alias("v")) for n in names))
-    long = df.select(key, F.explode(entries).alias("e")).select(key, "e.name", "e.v").where("v is not null")
-    part = F.lit(0)
-    for n in names:
-        cuts = sorted(set(bounds[n] or []))
-        part = F.when(F.col("name") == n, F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b < F.col("v"))) if cuts else F.lit(0)).otherwise(part)
-    counts = long.groupBy("name", "v").agg(F.count("*").alias("n")).withColumn("part", part)
-    before = Window.partitionBy("name", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    parts = counts.groupBy("name", "part").agg(F.sum("n").alias("size"))  # RANGES rows a name
-    per_name = Window.partitionBy("name")
-    offsets = parts.select("name", "part", F.coalesce(F.sum("size").over(per_name.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), F.sum("size").over(per_name).alias("total"))
-    ranked = counts.withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(offsets), ["name", "part"])
-    share = (F.col("offset") + F.col("inside") + (F.col("n") - 1) / 2.0) / F.greatest(F.col("total") - 1, F.lit(1))
+    long = rows.select(key, F.explode(entries).alias("e")).select(key, "e.name", "e.v").where("v is not null")
+    share = (F.col("before") + (F.col("n") - 1) / 2.0) / F.greatest(F.col("total") - 1, F.lit(1))
     inverted = F.col("name").isin([n for n in names if of[n][1]])
-    rated = ranked.select("name", "v", F.greatest(F.lit(1), F.least(F.lit(10), half_even(F.when(inverted, 1 - share).otherwise(share) * 9 + 1))).cast("int").alias("rating"))
+    rated = counted(long, "v", ["name"]).select("name", "v", _rated(share, inverted).alias("rating"))
     wide = long.join(rated, ["name", "v"]).groupBy(key).agg(*(F.max(F.when(F.col("name") == n, F.col("rating"))).alias(n) for n in names))
-    return df.join(wide, key, "left")
+    return rows.join(wide, key, "left")
 
 
 def at_share(df: DataFrame, value: str, shares: dict[str, float], empty: dict[str, float]) -> DataFrame:
     """One row: for each name the value at place floor(n * share), counted from 0 and at most the last; the given one where there are no rows."""
-    ranks = counted(df, value)
-    total = ranks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    placed = ranks.crossJoin(F.broadcast(total))
     picks: list[Column] = []
     for name, p in shares.items():
         at = F.least(F.col("total") - 1, F.floor(F.col("total") * p))
         picks.append(F.coalesce(F.max(F.when((at >= F.col("before")) & (at < F.col("before") + F.col("n")), F.col("v"))), F.lit(empty[name])).alias(name))
-    return placed.agg(*picks)
+    return counted(df, value).agg(*picks)
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Per key the value at place n div 2 of its sorted values."""
-    n = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).withColumns({"_at": F.row_number().over(n.orderBy(value)), "_n": F.count("*").over(n)})
-    return ranked.where(F.col("_at") == F.floor(F.col("_n") / 2) + 1).select(*keys, F.col(value).alias(out))
+    at = F.floor(F.col("total") / 2)
+    return counted(df, value, keys).where((F.col("before") <= at) & (at < F.col("before") + F.col("n"))).select(*keys, F.col("v").alias(out))
 
 
 def spearman(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """One row: rho = 1 - 6 * sum d^2 / (n (n^2 - 1)), ranks by value and key, without correction for ties."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    """One row: rho = 1 - 6 * sum d^2 / (n (n^2 - 1)), ranks by value and key, without correction for ties. df is computed once."""
+    both = kept(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), "spearman-rows")
 
     def ranks(c: str) -> DataFrame:
-        ordered = both.select(key, c).withColumn("part", range_number(both, c))
-        return running(ordered, "part", [c, key], F.lit(1), f"rank_{c}").select(key, f"rank_{c}")
+        return running(both.select(key, c), [], [c, key], F.lit(1), f"rank_{c}").select(key, f"rank_{c}")
 
     d = ranks(x).join(ranks(y), key).select((F.col(f"rank_{x}") - F.col(f"rank_{y}")).cast("double").alias("d"))
     n = F.count("*").cast("double")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import color, rating
 from ..functions.rounding import places as to_places
 from ..operators import normalize, ranking
+from ..sources.stages import kept
 from . import standins
 from .spec import CATEGORIES, DEFAULT_WEIGHTS, PRESETS, Filters
 from .standins import RATINGS_SQL, SIGNALS_SQL, score_sql
@@ -121,7 +122,7 @@ def rgb_sql(t: str, stops: tuple) -> str:
 
 @query("q_composite_color", f"with {ANCHORS_SQL}, t as (select k, case when p5 >= p95 then 0.5 when score <= p5 then 0 when score >= p95 then 1 when score <= p50 then 0.5 * ((score - p5) / (p50 - p5)) else 0.5 + 0.5 * ((score - p50) / (p95 - p50)) end::double as t from s, a) select k, {rgb_sql('t', color.DIVERGING)} as color from t")
 def composite_color(spark: SparkSession, sf: str) -> DataFrame:
-    s = ranking.scored(standins.ratings(spark, sf), DEFAULT_WEIGHTS).select("k", "score")
+    s = kept(ranking.scored(standins.ratings(spark, sf), DEFAULT_WEIGHTS).select("k", "score"), "scores")
     a = normalize.at_share(s, "score", SHARES, EMPTY)
     return s.crossJoin(F.broadcast(a)).select("k", color.composite_color(F.col("score"), F.col("p5"), F.col("p50"), F.col("p95")).alias("color"))
 
