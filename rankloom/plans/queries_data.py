@@ -138,9 +138,10 @@ def cascade_match(spark: SparkSession, sf: str) -> DataFrame:
     areas = area("p_size <= 7", F.col("p_name"), 0).unionByName(area("p_size between 8 and 11", word(1), 1_000_000)).unionByName(area("p_size > 45", F.left("p_name", F.lit(3)), 2_000_000))
     exact = p.join(areas, F.col("name") == F.col("area_name")).select("k", "code")
     ward = p.join(areas, F.col("ward") == F.col("area_name")).select("k", "code")
-    # containment without a product of the tables: every stretch of a name, then an equi-join
-    starts = p.select("k", "name", F.explode(F.sequence(F.lit(1), F.length("name") - 1)).alias("i"))
-    pieces = starts.select("k", F.explode(F.transform(F.sequence(F.lit(2), F.length("name") - F.col("i") + 1), lambda n: F.substring("name", F.col("i"), n))).alias("area_name")).distinct()
+    # containment without a product of the tables: the stretches of a name that are as long as some area's, then an equi-join
+    lengths = areas.where(F.length("area_name") >= 2).agg(F.collect_set(F.length("area_name")).alias("lengths"))  # one row
+    sized = p.select("k", "name").crossJoin(F.broadcast(lengths)).select("k", "name", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("name"))
+    pieces = sized.select("k", F.explode(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("n") + 1), lambda i: F.substring("name", i, F.col("n")))).alias("area_name")).distinct()
     within = pieces.join(areas, "area_name").select("k", "code")
     # orders are text that sorts like the number
     up, down = F.lpad(F.col("code").cast("string"), 12, "0"), F.lpad((10**11 - F.col("code")).cast("string"), 12, "0")
@@ -231,26 +232,11 @@ def transfers(spark: SparkSession, sf: str) -> DataFrame:
     return graph.transfers(m, m.select("place").distinct().orderBy("place").limit(5), "place", "line")
 
 
-@query("q_grid_search", f"""with {PLACES_SQL}, t as (select k, km, (10 + k % 50)::double as truth, k % 3 as tr from places),
-    g as (select c, p, row_number() over (order by c, s, p) - 1 as pid, s from (select unnest([1.20, 1.25, 1.30, 1.35, 1.40]) as c), (select unnest([30.0, 33.0, 36.0]) as s), (select unnest([6.0, 8.0, 10.0]) as p)),
-    e as (select pid, avg(abs(greatest(3, round_even(km * c::double / case when km < 5 then 25.0 when km < 15 then s else 40.0 end::double * 60 + tr * p::double, 0)) - truth)) as mae from t, g group by pid)
-    select pid, floor(mae * 1e6 + 0.5) / 1e6 as mae from e order by floor(mae * 1e6 + 0.5), pid limit 1""")
-def grid_search(spark: SparkSession, sf: str) -> DataFrame:
-    truth = standins.places(spark, sf).select("km", (10 + F.col("k") % 50).cast("double").alias("truth"), (F.col("k") % 3).alias("tr"))
-    sets = [(c, s, p) for c in (1.20, 1.25, 1.30, 1.35, 1.40) for s in (30.0, 33.0, 36.0) for p in (6.0, 8.0, 10.0)]
-    grid = spark.createDataFrame([(i, *x) for i, x in enumerate(sets)], "pid long, c double, s double, p double")
-    df = truth.crossJoin(F.broadcast(grid))  # a fixed set of parameters
-    fast = F.lit(40.0)
-    minutes = geo.travel_minutes(F.col("km"), F.col("tr"), F.col("c"), F.lit(25.0), F.col("s"), fast, fast, F.col("p"))
-    errors = df.groupBy("pid").agg(F.avg(F.abs(minutes - F.col("truth"))).alias("mae"))
-    return errors.select("pid", to_places(F.col("mae"), 6).alias("mae")).orderBy("mae", "pid").limit(1)
-
-
-@query("q_grid_search_all", f"""with {PLACES_SQL}, t as (select {km_sql('lat', 'lng', S_LAT, S_LNG)} as km, (k + s_suppkey) % 3 as tr, (10 + (k + 7 * s_suppkey) % 50)::double as truth from places, supplier where s_suppkey < 5),
+@query("q_grid_search", f"""with {PLACES_SQL}, t as (select {km_sql('lat', 'lng', S_LAT, S_LNG)} as km, (k + s_suppkey) % 3 as tr, (10 + (k + 7 * s_suppkey) % 50)::double as truth from places, supplier where s_suppkey < 5),
     g as (select row_number() over (order by c, a, b, f, x, p) - 1 as pid, * from (select unnest([1.20, 1.25, 1.30, 1.35, 1.40])::double as c), (select unnest([22, 25, 28])::double as a), (select unnest([30, 33, 36])::double as b), (select unnest([36, 40, 44])::double as f), (select unnest([44, 48, 52, 56])::double as x), (select unnest([6, 8, 10])::double as p)),
     e as (select pid, c, a, b, f, x, p, avg(abs(greatest(3, round_even(km * c / case when km < 5 then a when km < 15 then b when km < 35 then f else x end * 60 + tr * p, 0)) - truth)) as mae from t, g group by all)
     select pid, c as circuity, a as close, b as mid, f as far, x as express, p as penalty, floor(mae * 1e6 + 0.5) / 1e6 as mae from e order by mae, pid limit 1""")
-def grid_search_all(spark: SparkSession, sf: str) -> DataFrame:
+def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     """The whole search: 1,620 sets, five hubs."""
     hubs = points(spark, sf).where("p < 5").withColumnRenamed("p", "hub")
     p = standins.places(spark, sf).select("k", "lat", "lng").crossJoin(F.broadcast(hubs))  # five hubs
