@@ -93,13 +93,36 @@ def html_extract(spark: SparkSession, sf: str) -> DataFrame:
     return readers.html_items(table(spark, sf, "pages"), "page_id", "html", r'<li><a href="[^"]*">[^<]*</a>', {"href": r'href="([^"]*)"', "label": r">([^<>]+)</a>"}).where("label is not null")
 
 
-@query("q_doc_validity", """select doc_id, array_to_string(list_filter([case when lang = 'fr' then 'missing en' end, case when lang <> 'fr' and doc_id % 4 = 0 then 'en.food missing' end, case when lang <> 'fr' and doc_id % 4 <> 0 and trim(case when doc_id % 5 = 0 then ' ' else left(text, 20) end) = '' then 'en.food empty' end], lambda x: x is not null), ',') as issues from documents""")
+@query("q_doc_validity", """select doc_id, array_to_string(list_filter([case when lang = 'fr' then 'missing en' end, case when lang <> 'fr' and doc_id % 4 = 0 then 'en.food missing' end, case when lang <> 'fr' and doc_id % 4 <> 0 and trim(case when doc_id % 5 = 0 then ' ' else text end) = '' then 'en.food empty' end], lambda x: x is not null), ',') as issues from documents""")
 def doc_validity(spark: SparkSession, sf: str) -> DataFrame:
     food = F.when(F.col("doc_id") % 4 != 0, F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("text")))
     docs = table(spark, sf, "documents").select("doc_id", F.when(F.col("lang") != "fr", F.struct(food.alias("food"))).alias("en"))
     return docs.select("doc_id", F.array_join(documents.document_issues(("en",), ("food",)), ",").alias("issues"))
 
 
+#: Stand-ins for a document's languages and fields: which rows lack a language (modulus of the id), and per field the modulus at which it's missing and the text.
+LACKING = {"en": "lang = 'fr'", "ja": "doc_id % 7 = 3", "ru": "doc_id % 11 = 5"}
+FIELD_TEXTS = {"atmosphere": (13, "text"), "landmarks": (9, "case when doc_id % 5 = 0 then '  ' else text end"), "food": (4, "case when doc_id % 6 = 1 then '' else text end"), "nightlife": (8, "source")}
+
+
+def issues_sql(lang: str, f: str) -> str:
+    every, value = FIELD_TEXTS[f]
+    missing = f"(doc_id + {len(lang + f)}) % {every} = 0"
+    return f"case when not ({LACKING[lang]}) then case when {missing} or ({value}) is null then '{lang}.{f} missing' when trim({value}) = '' then '{lang}.{f} empty' end end"
+
+
+ISSUES_SQL = ", ".join(f"case when {LACKING[lang]} then 'missing {lang}' end, " + ", ".join(issues_sql(lang, f) for f in documents.FIELDS) for lang in documents.LANGUAGES)
+
+
+@query("q_doc_validity_all", f"select doc_id, array_to_string(list_filter([{ISSUES_SQL}], lambda x: x is not null), ',') as issues from documents")
+def doc_validity_all(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    for lang in documents.LANGUAGES:
+        texts = [F.expr(f"case when (doc_id + {len(lang + f)}) % {every} <> 0 then {value} end").alias(f) for f, (every, value) in FIELD_TEXTS.items()]
+        docs = docs.withColumn(lang, F.when(~F.expr(LACKING[lang]), F.struct(*texts)))
+    return docs.select("doc_id", F.array_join(documents.document_issues(), ",").alias("issues"))
+
+
 @query("q_tag_class", """with t as (select p_partkey, [split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), lower(p_type)] as tags from part), n as (select p_partkey, len(list_filter(tags, lambda x: x in ('small', 'economy'))) as bad, len(list_filter(tags, lambda x: x in ('ring', 'widget'))) as good from t)
     select p_partkey, case when bad >= 2 or (bad > 0 and good = 0) then 'bad' else 'good' end as class from n""")
 def tag_class(spark: SparkSession, sf: str) -> DataFrame:
