@@ -146,3 +146,58 @@ def confidence(*known_sources: Column, strong: int = 2) -> Column:
 def sources(**tests: Column) -> Column:
     """The names of the sources whose test holds, in order."""
     return F.array_compact(F.array(*(F.when(t, name) for name, t in tests.items())))
+
+
+def clamped(v: Column, low: int = 1, high: int = 10) -> Column:
+    """Into the range, then half up."""
+    return F.floor(F.greatest(F.lit(low), F.least(F.lit(high), v)) + 0.5)
+
+
+def _by_km(km: Column, steps: list[tuple[float, Column | int]], beyond: Column | int) -> Column:
+    out = beyond if isinstance(beyond, Column) else F.lit(beyond)
+    for limit, value in reversed(steps):
+        out = F.when(km < limit, value).otherwise(out)
+    return clamped(out)
+
+
+def heuristic(km: Column, lines: Column, rent: Column) -> dict[str, Column]:
+    """Ratings of a place about which nothing but distance, lines and perhaps the rent is known. The bands."""
+    few = lambda n: F.least(lines, F.lit(n))
+    fewer = lambda n: F.least(lines - 1, F.lit(n))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (rent - 70_000) / 230_000.0))
+    return {
+        "transport": clamped(F.when(lines >= 5, 9).when(lines >= 3, 7).when(lines >= 2, 6).when(lines >= 1, 4).otherwise(3)),
+        "food": _by_km(km, [(5, 7 + few(3)), (10, 5 + few(2)), (20, 4 + few(1))], 3),
+        "nightlife": _by_km(km, [(3, 6 + few(3)), (7, 4 + few(2)), (15, 3 + few(1))], 2),
+        "safety": _by_km(km, [(3, 6), (7, 7)], 8),
+        "green": _by_km(km, [(3, 3), (7, 4), (15, 6)], 7),
+        "rent": F.when(rent.isNotNull(), F.floor(10 - 9 * share + 0.5)).otherwise(_by_km(km, [(5, 3), (10, 5), (20, 7)], 8)),
+        "gym_sports": _by_km(km, [(15, 5)], 4),
+        "vibe": _by_km(km, [(3, 6 + fewer(2)), (7, 5 + fewer(1)), (15, 5)], 4),
+        "crowd": _by_km(km, [(3, 3), (7, 5), (15, 7)], 8),
+    }
+
+
+def heuristic_rent(km: Column) -> Column:
+    return F.when(km < 5, 130_000).when(km < 10, 95_000).when(km < 20, 75_000).otherwise(65_000)
+
+
+def elevation_hint(m: Column) -> Column:
+    return F.when(m.isNull(), "moderate").when(m < 0, "belowSea").when(m < 5, "veryLow").when(m < 20, "low").otherwise("moderate")
+
+
+def seismic_hint(tier: Column) -> Column:
+    return F.when(tier == "very_high", "veryHigh").when(tier.isin("high", "moderate"), tier).otherwise("low")
+
+
+def marker(score: Column, rent_unknown: Column, selected: Column, hovered: Column, compared: Column, grown: float = 1.4) -> dict[str, Column]:
+    """How a place is drawn: radius, stroke, weight and opacities."""
+    lit_up, unknown = selected | hovered, F.coalesce(rent_unknown, F.lit(False))
+    base = F.when(score.isNotNull(), 6 + score * 0.5).otherwise(5.0)
+    return {
+        "radius": F.when(lit_up, base * grown).otherwise(base),
+        "stroke": F.when(selected, "#1d4ed8").when(hovered, "#2563eb").when(compared, "#7c3aed").otherwise("#374151"),
+        "weight": F.when(selected, 3.5).when(hovered, 2.5).when(compared, 3.0).when(unknown, 0.5).otherwise(1.0),
+        "opacity": F.when(unknown & ~lit_up & ~compared, 0.3).otherwise(0.9),
+        "fill_opacity": F.when(lit_up, 1.0).when(unknown, 0.35).otherwise(0.85),
+    }

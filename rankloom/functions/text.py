@@ -77,3 +77,36 @@ def municipality_key(city: Column, ward: Column) -> Column:
 def json_array(text: Column, schema: str) -> Column:
     """The first [...] in a text, parsed."""
     return F.from_json(F.regexp_extract(text, r"(?s)\[.*\]", 0), schema)
+
+
+def meta_description(text: Column, fallback: Column, most: int = 155) -> Column:
+    return F.coalesce(F.nullif(F.left(text, F.lit(most)), F.lit("")), fallback)
+
+
+def path_below(url: Column, prefix: str) -> Column:
+    """What comes after the prefix and a slash; null for other URLs."""
+    return F.when(url.startswith(f"{prefix}/"), F.substring(url, len(prefix) + 2, 1 << 30))
+
+
+def thumb_variants(url: Column, widths: tuple[int, ...] = (1280, 800)) -> Column:
+    """Larger forms of a thumbnail's URL, the widest first, then the URL itself, which is all there is if it isn't one."""
+    name = F.element_at(F.split(F.regexp_extract(url, r"/thumb/(.+?)/\d+px-", 1), "/"), -1)
+    wider = F.array(*(F.concat(F.regexp_replace(url, r"/\d+px-[^/]+$", ""), F.lit(f"/{w}px-"), name) for w in widths))
+    return F.concat(F.when(url.rlike(r"/thumb/.+?/\d+px-[^/]+$"), wider).otherwise(F.array().cast("array<string>")), F.array(url))
+
+
+def day_type(trip_id: Column) -> Column:
+    return F.when(F.coalesce(trip_id, F.lit("")).contains("SaturdayHoliday"), "holiday").otherwise("weekday")
+
+
+def iso_day(t: Column) -> Column:
+    return F.date_format(t, "yyyy-MM-dd")
+
+
+def month(t: Column) -> Column:
+    return F.date_format(t, "yyyy-MM")
+
+
+def utc_stamp(t: Column) -> Column:
+    """Seconds and Z; t is a time without zone in UTC."""
+    return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_data, queries_more, queries_rating, queries_text
+from . import queries_data, queries_more, queries_rating, queries_text, queries_wide
 
-PARTS = (queries_rating, queries_data, queries_text, queries_more)
+PARTS = (queries_rating, queries_data, queries_text, queries_more, queries_wide)
 QUERIES: dict = {k: f for part in PARTS for k, f in part.QUERIES.items()}
 ORACLE_SQL: dict = {k: s for part in PARTS for k, s in part.SQL.items()}

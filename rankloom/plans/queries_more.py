@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, rating
 from ..functions import text as tx
 from ..functions.rounding import tenth
-from ..operators import documents, ranking
+from ..operators import documents, normalize, ranking
 from ..sources.tables import table
 from . import standins
 from .standins import PLACES_SQL
@@ -107,8 +107,9 @@ def area_sum(spark: SparkSession, sf: str) -> DataFrame:
 @query("q_composed_order", "select p_partkey, (row_number() over (partition by p_brand order by case p_type when 'SMALL' then 0 when 'ECONOMY' then 1 else 2 end, p_name, p_partkey))::int as place from part")
 def composed_order(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("p_type") == "SMALL", 0).when(F.col("p_type") == "ECONOMY", 1).otherwise(2)
-    w = Window.partitionBy("p_brand").orderBy(kind, "p_name", "p_partkey")
-    return table(spark, sf, "part").select("p_partkey", F.row_number().over(w).alias("place"))
+    rows = table(spark, sf, "part").select("p_partkey", "p_brand", "p_name", kind.alias("kind"))
+    placed = normalize.running(rows, ["p_brand"], ["kind", "p_name", "p_partkey"], F.lit(1), "before")
+    return placed.select("p_partkey", (F.col("before") + 1).cast("int").alias("place"))
 
 
 @query("q_collapsed_list", "with l as (select l_orderkey as k, list(l_partkey order by l_linenumber, l_partkey) as parts from lineitem group by 1) select k, array_to_string(case when len(parts) >= 6 then parts[1:4] else parts end, ',') as shown from l")
@@ -179,9 +180,9 @@ def truth_join(spark: SparkSession, sf: str) -> DataFrame:
     return truth.join(est, ["k", "hub"])
 
 
-@query("q_document_template", "select doc_id, '# ' || doc_id || chr(10) || 'lang: ' || lang || chr(10) || left(text, 40) as body from documents")
+@query("q_document_template", "select doc_id, '# ' || doc_id || chr(10) || 'lang: ' || lang || chr(10) || text as body from documents")
 def document_template(spark: SparkSession, sf: str) -> DataFrame:
-    body = F.format_string("# %d\nlang: %s\n%s", F.col("doc_id"), F.col("lang"), F.left("text", F.lit(40)))
+    body = F.format_string("# %d\nlang: %s\n%s", F.col("doc_id"), F.col("lang"), F.col("text"))
     return table(spark, sf, "documents").select("doc_id", body.alias("body"))
 
 

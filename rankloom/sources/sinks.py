@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stages import kept
+
 
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
@@ -26,8 +28,8 @@ def documents(df: DataFrame, path: str, text: Column, by: str) -> None:
 
 
 def split_valid(df: DataFrame, issues: Column, good: str, bad: str) -> None:
-    """Rows without issues to one table and the others, with theirs, to another."""
-    marked = df.withColumn("issues", issues)
+    """Rows without issues to one table and the others, with theirs, to another; df is computed once."""
+    marked = kept(df.withColumn("issues", issues), "marked")
     marked.where(F.size("issues") == 0).drop("issues").write.mode("overwrite").parquet(good)
     marked.where(F.size("issues") > 0).write.mode("overwrite").parquet(bad)
 

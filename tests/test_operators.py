@@ -1,5 +1,6 @@
 """Order statistics, ranking, joins, streams and the query specification."""
 
+import math
 import random
 
 import pytest
@@ -203,3 +204,67 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def km_between(a, b):
+    (y1, x1), (y2, x2) = ([math.radians(v) for v in p] for p in (a, b))
+    h = math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2
+    return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, h)))
+
+
+@pytest.mark.parametrize("lat,lng", [(0.0, 0.0), (35.7, 139.7), (70.0, 25.0), (-12.0, 180.0), (89.99, 10.0), (-90.0, 0.0)])
+def test_radius_join_anywhere(spark, lat, lng):
+    rng = random.Random(str(lat))
+    spot = lambda: (max(-90.0, min(90.0, lat + rng.uniform(-0.05, 0.05))), (lng + rng.uniform(-0.2, 0.2) + 180) % 360 - 180)
+    left, right = [(i, *spot()) for i in range(60)], [(100 + i, *spot()) for i in range(60)]
+    a = spark.createDataFrame([*left, (90, None, 1.0)], "k int, lat double, lng double")
+    b = spark.createDataFrame(right, "p int, r_lat double, r_lng double")
+    for km in (2.0, 7.0):
+        got = sorted((r["k"], r["p"]) for r in spatial.radius_join(a, b, km).collect())
+        assert got == sorted((k, p) for k, *x in left for p, *y in right if km_between(x, y) <= km)
+        assert got
+
+
+def test_nearest_in_rings(spark):
+    rng = random.Random(8)
+    points = [(i, rng.choice("ab"), rng.gauss(0, 3), rng.gauss(0, 3)) for i in range(150)] + [(900, "a", 80.0, 170.0), (901, "c", 0.0, 0.0), (902, "a", None, 1.0)]
+    areas = [(i, rng.choice("ab"), rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(40)] + [(50, "a", 1.0, 1.0), (51, "a", 1.0, 1.0)]
+    p = spark.createDataFrame(points, "k int, g string, lat double, lng double")
+    a = spark.createDataFrame(areas, "area int, g string, a_lat double, a_lng double")
+    got = {r["k"]: r["area"] for r in spatial.nearest_in(p, a, "g", "k", "area").collect()}
+    best = lambda g, y, x: min((math.sqrt((y - b) ** 2 + (x - c) ** 2), i) for i, h, b, c in areas if h == g)[1]
+    assert got == {k: best(g, y, x) for k, g, y, x in points if y is not None and g in "ab"}
+    assert spatial.nearest_in(p.limit(0), a, "g", "k", "area").count() == spatial.nearest_in(p, a.limit(0), "g", "k", "area").count() == 0
+
+
+def test_within_polygons(spark):
+    rng = random.Random(9)
+    rings = {i: [(y + dy, x + dx) for dy, dx in ((0, 0), (0.02, 0.3), (0.25, 0.22), (0.1, 0.05))] for i, (y, x) in enumerate((rng.uniform(-1, 1), rng.uniform(-1, 1)) for _ in range(12))}
+    points = [(i, rng.uniform(-1.2, 1.4), rng.uniform(-1.2, 1.4)) for i in range(300)]
+
+    def inside(y, x, ring):
+        n = 0
+        for (y1, x1), (y2, x2) in zip(ring, ring[1:] + ring[:1]):
+            n += (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1
+        return n % 2 == 1
+
+    p = spark.createDataFrame(points, "k int, lat double, lng double")
+    a = spark.createDataFrame([(i, [{"lat": y, "lon": x} for y, x in r]) for i, r in rings.items()] + [(99, [])], "a int, ring array<struct<lat: double, lon: double>>")
+    got = sorted((r["k"], r["a"]) for r in spatial.within_polygons(p, a, "k", "a").collect())
+    assert got and got == sorted((k, i) for k, y, x in points for i, r in rings.items() if inside(y, x, r))
+
+
+def test_many_ranges(spark):
+    """Sums over ranges are those over all rows, for many groups and many ranges."""
+    rng = random.Random(10)
+    rows = [(rng.choice("abc"), rng.randrange(500), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v int, i int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["g"], r["v"]): (r["n"], r["before"], r["total"]) for r in normalize.counted(df, "v", ["g"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for (g, v), (n, before, total) in got.items():
+        of = [x for h, x, _ in rows if h == g]
+        assert (n, before, total) == (of.count(v), sum(x < v for x in of), len(of))
+    assert sum(n for n, _, _ in got.values()) == 3000
