@@ -70,16 +70,50 @@ def in_batches(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.
     return df.mapInPandas(f, schema)
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/rankloom-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder, read back: cuts the lineage and survives the loss of executors."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._rankloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for t in tables:
+        remove(t.sparkSession, t._rankloom_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application wrote to the shared folder; results that haven't been read yet are lost with it."""
+    remove(spark, own_dir(spark))
+
+
+def matched(rows: DataFrame, side: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows with `of`: side's row for the key as a struct, null where there is none; side has one row a key.
+
+    Keys that side's column n says to be on a 2,000th of the `total` rows or more, so at most 2,000 keys, are broadcast,
+    and their rows are spread over all tasks of the join, so that no task has such a key's rows to itself.
+    """
+    many = max(1_000, total // 2_000)
+    large, small, salt = unused(rows, "_large", "_small", "_salt")
+    values = F.struct(*[c for c in side.columns if c != key])
+    spread = rows.join(F.broadcast(side.where(F.col(n) >= many).select(key, values.alias(large))), key, "left")
+    spread = spread.withColumn(salt, F.when(F.col(large).isNull(), F.lit(0)).otherwise(F.xxhash64(*rows.columns)))
+    # 0 by way of the key, as the optimizer takes constants out of the join's keys
+    rest = side.where(F.col(n) < many).select(key, values.alias(small), F.pmod(F.xxhash64(key), F.lit(1)).alias(salt))
+    return spread.join(rest, [key, salt], "left").withColumn("of", F.coalesce(large, small)).drop(large, small, salt)
 
 
 def remove(spark: SparkSession, path: str) -> None:
