@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stages import kept
+
 
 def adjacency(members: DataFrame, place: str, line: str) -> DataFrame:
     """Pairs of lines with a place in common, both ways round."""
@@ -13,11 +15,15 @@ def adjacency(members: DataFrame, place: str, line: str) -> DataFrame:
 
 
 def transfers(members: DataFrame, hubs: DataFrame, place: str, line: str) -> DataFrame:
-    """place, hub, transfers: 0 with a line in common, 1 if a line of one meets a line of the other, else 2. Hubs are a handful."""
-    hub_lines = members.join(F.broadcast(hubs), place).select(F.col(place).alias("hub"), F.col(line).alias("hub_line")).distinct()
-    direct = members.join(F.broadcast(hub_lines), F.col(line) == F.col("hub_line")).select(place, "hub", F.lit(0).alias("t"))
-    reach = adjacency(members, place, line).join(F.broadcast(hub_lines), F.col("line_b") == F.col("hub_line")).select(F.col("line_a").alias(line), "hub").distinct()
-    once = members.join(reach, line).select(place, "hub", F.lit(1).alias("t"))
-    every = members.select(place).distinct().crossJoin(F.broadcast(hubs.select(F.col(place).alias("hub"))))
-    best = direct.unionByName(once).groupBy(place, "hub").agg(F.min("t").alias("t"))
+    """place, hub, transfers: 0 with a line in common, 1 if a line of one meets a line of the other, else 2. Hubs are a handful; members are computed once.
+
+    From hubs to their lines, to places on these, to lines there, to places on those: no pairs of lines are formed.
+    """
+    rows = kept(members.select(place, line), "members")
+    hub_lines = rows.join(F.broadcast(hubs.select(place)), place).select(line, F.col(place).alias("hub")).distinct()
+    direct = rows.join(hub_lines, line).select(place, "hub").distinct()
+    reach = rows.join(direct, place).select(line, "hub").distinct()
+    once = rows.join(reach, line).select(place, "hub").distinct()
+    every = rows.select(place).distinct().crossJoin(F.broadcast(hubs.select(F.col(place).alias("hub"))))
+    best = direct.withColumn("t", F.lit(0)).unionByName(once.withColumn("t", F.lit(1))).groupBy(place, "hub").agg(F.min("t").alias("t"))
     return every.join(best, [place, "hub"], "left").select(place, "hub", F.coalesce("t", F.lit(2)).alias("transfers"))
