@@ -1,9 +1,11 @@
 """Line dedup: ranges of line hashes, each sorted by document and position; the result is a keep bitmap per document.
 
-Lines are keyed by 128 bits of hash. Occurrences are dealt out by ranges of (hash, block of documents), so that one
-very common line is spread over as many blocks as there are; each range is sorted by document and position and its
-first and last holder of a line read off in one pass. The blocks' firsts, a few rows a line, give the line's first
-holder of all. What goes back to a document is not text but a bitmap of the lines to keep, packed as its runs.
+Lines are keyed by 128 bits of hash. Their occurrences are dealt out by ranges of the hash and each range is sorted by
+document and position, so the first holder of a line is the one at which its run begins, and is carried along the run as
+it streams by: what comes after it, in other documents, goes. A line that is on so many rows that its run would be a
+task of its own is found by counting buckets of hashes, then lines of the few full buckets; the first holders of such lines,
+of which there are at most a few thousand, are aggregated in part by every task and sent to all rows instead. What goes
+back to a document is not text but a bitmap of the lines to keep, packed as its runs.
 
 Defined results: a null or empty text is one empty line; a null id holds no lines and loses none; rows with the same
 id and the same text are one document, and those with the same id and other texts are told apart by the text; lines
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, let, lower_ascii, unused, written
 
-#: A line's occurrences are dealt out to so many blocks of documents.
-BLOCKS = 64
+#: A line on at least this share of all rows, and on no fewer rows than COMMON, isn't left to one task.
+SHARE, COMMON = 2_000, 1_000
+#: Lines are first counted by so many buckets of their hash.
+BUCKETS = 1 << 16
 
 
 def lines_of(text: Column) -> Column:
@@ -59,21 +63,28 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         split.select("doc_id", "doc_hash", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
         .where(F.length(key) >= min_chars)
         .select("doc_id", "doc_hash", "n_lines", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"))
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS)).cast("int"))
     )
     found = written(found, "line-hashes")  # narrow rows, read several times below
-    ranged = found.repartitionByRange("h1", "h2", "block").sortWithinPartitions("h1", "h2", "block", "doc_id", "pos")
-    # the ranges hold whole (hash, block) groups, so this pass needs neither another exchange nor another sort
-    run = Window.partitionBy("h1", "h2", "block").orderBy("doc_id", "pos")
-    seen = ranged.withColumn("head", F.row_number().over(run) == 1)
-    heads = seen.where("head").select("h1", "h2", "block", F.col("doc_id").alias("first_here"))
-    ends = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    shared = heads.join(ends, ["h1", "h2"]).select("h1", "h2", "block", "first")
-    lost = ranged.join(shared, ["h1", "h2", "block"]).where(F.col("doc_id") > F.col("first"))
+    firsts = common_lines(found)
+    run = Window.partitionBy("h1", "h2").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranged = found.join(F.broadcast(firsts), ["h1", "h2"], "left_anti").repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "pos")
+    # the ranges hold whole runs in their order, so this pass needs neither another exchange nor another sort
+    streamed = ranged.withColumn("first", F.first("doc_id").over(run))
+    lost = streamed.unionByName(found.join(F.broadcast(firsts), ["h1", "h2"])).where(F.col("doc_id") > F.col("first"))
     gone = lost.groupBy("doc_id", "doc_hash").agg(F.max("n_lines").alias("n_lines"), F.array_sort(F.collect_set("pos")).alias("gone"))
     return gone.select("doc_id", "doc_hash", "n_lines", F.size("gone").alias("n_dropped"), packed(F.col("gone"), F.col("n_lines")).alias("bitmap"))
 
 
+def common_lines(found: DataFrame) -> DataFrame:
+    """h1, h2 and first, the least document, of lines on a SHARE-th of all rows or more: at most SHARE lines."""
+    least = max(COMMON, found.count() // SHARE)
+    bucket = F.pmod("h1", F.lit(BUCKETS)).alias("bucket")
+    full = found.groupBy(bucket).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("bucket")  # at most SHARE rows
+    inside = found.withColumn("bucket", F.pmod("h1", F.lit(BUCKETS))).join(F.broadcast(full), "bucket", "left_semi")
+    counted = inside.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    return written(counted.where(F.col("n") >= least).select("h1", "h2", "first"), "line-common")
+
+
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """docs with text_col less the dropped lines; sets n_lines and n_dropped. A document that loses nothing keeps its text as it is."""
     own, key, mark, lost, bitmap = unused(docs, "_own", "_key", "_mark", "_lost", "_bitmap")
