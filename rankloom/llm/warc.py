@@ -175,8 +175,8 @@ class Index:
         return found.groupBy("block").cogroup(self.blocks.groupBy("block")).applyInPandas(read, "sort_key string, file string, offset long, length long")
 
 
-def read_ranges(places: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
-    """The records at the places (file, offset, length), file by file in the order of offsets."""
+def read_ranges(places: DataFrame, folder: str, with_payload: bool = False, task_bytes: int = 4 << 20) -> DataFrame:
+    """The records at the places (file, offset, length), file by file in the order of offsets, in as many tasks as the compressed bytes need."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, at = file_at(folder)
@@ -195,7 +195,9 @@ def read_ranges(places: DataFrame, folder: str, with_payload: bool = False) -> D
             f.close()
 
     kinds = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", url string, payload binary" if with_payload else "")
-    spread = places.withColumn("stretch", F.floor(F.col("offset") / (1 << 22))).repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    placed = written(places.select("file", "offset", "length"), "warc-places")  # narrow rows, which say how many bytes there are to read
+    tasks = max(1, -(-(placed.agg(F.sum("length")).first()[0] or 0) // task_bytes))
+    spread = placed.withColumn("stretch", F.floor(F.col("offset") / (1 << 22))).repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset")
     return in_batches(spread.select("file", "offset", "length"), run, kinds)
 
 
