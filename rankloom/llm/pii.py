@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import discard, let, matched, written
 
 #: Kinds in their fixed order with their patterns.
 PATTERNS = {
@@ -46,21 +46,29 @@ AROUND = 150
 SPAN = "array<struct<kind: string, start: int, end: int, value: string, before: string, after: string>>"
 
 
+def running_sums(numbers: Column, chunk: int = 256) -> Column:
+    """The sums of an array's first 1, 2, ... numbers: inside chunks, then over the chunks, so that no step copies more than a chunk."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def inside(numbers: Column) -> Column:
+        return F.aggregate(numbers, none, lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)))))
+
+    def over(parts: Column) -> Column:
+        ends = inside(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return let(ends, lambda e: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda x: x + F.coalesce(F.get(e, i - 1), F.lit(0))))))
+
+    chunks = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / chunk).cast("int")), lambda k: inside(F.slice(a, k * chunk + 1, F.lit(chunk))))
+    return let(numbers, lambda a: F.when(F.size(a) > 0, let(chunks(a), over)).otherwise(none))
+
+
 def matches(text: Column, pattern: str, kind: str) -> Column:
     """Spans of all matches, with the text between them as before and after."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def spans(pieces: Column, found: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
-
-        def add(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + F.length(x["before"])
-            end = begin + F.length(x["value"])
-            span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-        rows = F.transform(found, lambda m, i: F.struct(m.alias("value"), F.get(pieces, i).alias("before"), F.get(pieces, i + 1).alias("after")))
-        return F.aggregate(rows, start, add, lambda acc: acc["out"])
+    def spans(p: Column, m: Column) -> Column:
+        ends = running_sums(F.transform(m, lambda x, i: F.length(F.get(p, i)) + F.length(x)))
+        span = lambda x, i, e: F.struct(F.lit(kind).alias("kind"), (F.get(e, i) - F.length(x)).alias("start"), F.get(e, i).alias("end"), x.alias("value"), F.get(p, i).alias("before"), F.get(p, i + 1).alias("after"))
+        return let(ends, lambda e: F.transform(m, lambda x, i: span(x, i, e)))
 
     return let(pieces, lambda p: let(found, lambda m: spans(p, m)))
 
@@ -137,7 +145,9 @@ def disclosing_terms(base: DataFrame, docs: DataFrame, text_col: str, chance: fl
     unlikely = F.when((shown >= 2) & (q < 1), (p > q) & (surprise >= math.log(max(n_pairs, 1) / chance))).otherwise(False)
     own = F.col("named") & (F.col("n_both") == F.col("n_term"))
     found = pairs.join(counted, "term").join(entities, "entity").where((information > 0) & (unlikely | own)).select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
-    return written(found.withColumn("action", F.when(F.col("share") >= remove, "removed").otherwise("generalised")), "pii-disclosing")
+    disclosing = written(found.withColumn("action", F.when(F.col("share") >= remove, "removed").otherwise("generalised")), "pii-disclosing")
+    discard(near, counted, pairs)
+    return disclosing
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chance: float = 1.0, generalise: float = 0.9, remove: float = 0.97) -> DataFrame:
@@ -147,8 +157,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chance
     base = written(rows.select("doc_id", "text_mark", base_spans(F.col("text")).alias("base")), "pii-base")
     some = base.where(F.size("base") > 0)
     terms = disclosing_terms(some, rows, "text", chance, generalise, remove)
-    shared = some.select("doc_id", "text_mark", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")).join(terms, "entity")
-    actions = shared.groupBy("doc_id", "text_mark", "term").agg(F.max("action").alias("action"))
+    holders = written(some.select("doc_id", "text_mark", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")), "pii-holders")
+    of_entity = terms.join(holders.groupBy("entity").agg(F.count("*").alias("n")), "entity").groupBy("entity").agg(F.first("n").alias("n"), F.collect_list(F.struct("term", "action")).alias("terms"))
+    shared = matched(holders, of_entity, "entity", "n", holders.count()).select("doc_id", "text_mark", F.explode("of.terms").alias("t"))
+    actions = shared.groupBy("doc_id", "text_mark", F.col("t.term").alias("term")).agg(F.max("t.action").alias("action"))
     wanted = actions.groupBy("doc_id", "text_mark").agg(F.collect_list(F.struct("term", "action")).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark"), "wanted")
     spans = some.dropDuplicates(["doc_id", "text_mark"]).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_mark") == F.col("_mark"))).select("_id", "_mark", "base", "wanted")

@@ -10,6 +10,9 @@ from .common import held_out, table
 
 BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+#: The words of a text, A-Z in lower case: runs of digits, letters and all beyond ASCII.
+WORDS_SQL = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
 
 def scored(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -30,7 +33,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [number(k) for k in pii.PATTERNS]
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"))
+    acted = [F.size(F.filter("added", lambda s: s["action"] == a)).cast("long").alias(f"n_{a}") for a in ("generalised", "removed")]  # noqa: B023
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"), *acted)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +95,16 @@ ORACLE_SQL = {
         f as (select *, min(page_id) over (partition by payload_digest) as first from p)
         select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
                case when payload_bytes >= 100 and page_id <> first then first end as refers_to from f""",
+    "op5_decontamination": f"""
+        with d as (select doc_id, {WORDS_SQL} as w from documents), i as (select item_id, {WORDS_SQL} as w from benchmark),
+        iw as (select item_id, least(len(w), 10) as n, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as s from i where len(w) > 0),
+        wins as (select distinct item_id, n, array_to_string(w[s:s + n - 1], ' ') as win from iw),
+        dw as (select doc_id, n, w, unnest(range(1, len(w) - n + 2)) as s from d, (select distinct n from wins)),
+        hits as (select doc_id, s, n, item_id from (select doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') as win from dw) join wins using (n, win)),
+        placed as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + n)) as p from hits) group by 1),
+        listed as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id::varchar as item_id from hits) group by 1)
+        select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join placed using (doc_id) left join listed using (doc_id)""",
     "op6_exact_dedup": f"""
         with d as (select doc_id, coalesce(text, '') as t, translate(coalesce(text, ''), {BLANKS_SQL}, '') as n from documents),
         r as (select *, first_value(doc_id) over w as keep_id, count(*) over (partition by n) as group_size from d window w as (partition by n order by length(t) desc, doc_id))
