@@ -39,8 +39,8 @@ NO_PAIR = 1 << 62
 NONE = np.int64(NO_PAIR)
 #: Fewer pieces of a length than this are merged one by one.
 FEW = 32
-#: A worker keeps the ids of about so many stretches of text, twice.
-CACHED = 400_000
+#: A worker keeps the ids of about so many stretches of text, twice, each of at most so many characters.
+CACHED, SHORT = 400_000, 64
 #: Pieces that are new to a worker are merged in batches of at most so many leaves.
 LEAVES = 1 << 20
 
@@ -78,6 +78,7 @@ class Bpe:
         # a stretch of text is one piece or a few that no other text around it changes
         self.known: dict[str, tuple[int, ...]] = {t: (i,) for t, i in self.added.items()}
         self.old: dict[str, tuple[int, ...]] = {}
+        self.long: dict[str, tuple[int, ...]] = {}  # of the texts at hand only
         self.rank_of = dict(zip(keys.tolist(), range(len(keys))))
         self.letters, self.merged_list = self.byte_ids.tolist(), self.merged.tolist()
         self.own = list(range(size))  # one object an id, however often it's kept
@@ -179,7 +180,7 @@ class Bpe:
             node = node >> 1
 
     def learn(self, new: set[str]) -> None:
-        """Adds the ids of new stretches of text to those known. What is known has two generations: a full one becomes the old one, and what is met again moves to the young one."""
+        """Adds the ids of new stretches of text to those known. What is known has two generations: a full one becomes the old one, and what is met again moves to the young one. Long stretches are known for as long as their text is at hand."""
         if len(self.known) > CACHED:
             self.old, self.known = self.known, {t: (i,) for t, i in self.added.items()}
         if self.old:
@@ -192,15 +193,19 @@ class Bpe:
         by_width: dict[int, list[str]] = {}
         for p in fresh:
             by_width.setdefault((len(p.encode()) - 1).bit_length(), []).append(p)
+        met: dict[str, tuple[int, ...]] = {}
         for bits, group in by_width.items():
             if len(group) < FEW or bits > 9:
-                known.update((p, self.merge_one(p.encode())) for p in group)
+                met.update((p, self.merge_one(p.encode())) for p in group)
                 continue
             step = max(1, LEAVES >> (bits + 1))
             for i in range(0, len(group), step):
                 some = group[i : i + step]
-                known.update(zip(some, self.merge([p.encode() for p in some])))
-        known.update((u, tuple(chain.from_iterable(map(known.__getitem__, pieces)))) for u, pieces in cut.items() if len(pieces) != 1)
+                met.update(zip(some, self.merge([p.encode() for p in some])))
+        of = lambda p: met[p] if p in met else known[p]
+        met.update([(u, tuple(chain.from_iterable(map(of, pieces)))) for u, pieces in cut.items() if len(pieces) != 1])
+        self.long = {p: ids for p, ids in met.items() if len(p) > SHORT}
+        known.update((p, ids) for p, ids in met.items() if len(p) <= SHORT)
 
     def stretches(self, text: str) -> list[str]:
         """The text cut up where no piece can cross: before each space if what follows is never white space, else at every piece; added tokens are cut out first."""
@@ -236,8 +241,9 @@ class Bpe:
         self.learn(new)
         for pieces, got in group:
             if None in got:
-                got = [self.known[p] if g is None else g for p, g in zip(pieces, got)]
+                got = [(self.known[p] if len(p) <= SHORT or p in self.known else self.long[p]) if g is None else g for p, g in zip(pieces, got)]
             yield list(chain.from_iterable(got))
+        self.long = {}
 
     def decode(self, ids: list[int]) -> str:
         table = self.bytes_of
@@ -259,18 +265,20 @@ def of(path: str) -> Bpe:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array of int)."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id and ids (array of int); if asked for, also the text that the ids decode to."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = of(path)
         for b in batches:
             for i in range(0, len(b), 64):
                 some = b.iloc[i : i + 64]
-                yield pd.DataFrame({"doc_id": some["doc_id"], "ids": [np.array(x, np.int32) for x in bpe.encode_batch(some["text"].tolist())]})
+                ids = list(bpe.encode_batch(some["text"].tolist()))
+                made = pd.DataFrame({"doc_id": some["doc_id"], "ids": [np.array(x, np.int32) for x in ids]})
+                yield made.assign(text=[bpe.decode(x) for x in ids]) if decoded else made
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return in_batches(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")), run, f"doc_id {kind}, ids array<int>")
+    return in_batches(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")), run, f"doc_id {kind}, ids array<int>" + (", text string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
