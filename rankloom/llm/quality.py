@@ -11,7 +11,8 @@ numpy on at most `max_rows` labelled rows, chosen by hash; its logits are divide
 rows that the network hasn't seen. Labels are only learned from where held_out is false.
 
 Defined results: a null text counts as empty; empty texts have the zero vector and a score like any other; unlabelled
-rows and null labels are not learned from; a document that is labelled twice counts twice; with no labels, or only one
+rows and null labels are not learned from; a document with two different labels counts once with each, and of rows that share an
+id one counts; with no labels, or only one
 kind, every score is the share of ones (0.5 without any); an empty table gives an empty result; other columns are
 ignored.
 """
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import held_out, in_batches, ship
 
 ROWS, DIM, NONZERO, REACH = 1 << 14, 32, 2, 2
-#: A worker keeps the codes of so many words.
-CACHED = 400_000
+#: A worker keeps the codes of so many words of at most so many characters.
+CACHED, SHORT = 400_000, 64
 #: Bytes to the letters of a shape.
 SHAPE = bytes(0x41 if 65 <= b <= 90 else 0x30 if 48 <= b <= 57 else 0x61 if 97 <= b <= 122 or b >= 128 else b for b in range(256))
 RUNS = re.compile(rb"(.)\1+", re.DOTALL)
@@ -57,7 +58,9 @@ class Codes(dict):
             self.clear()
         raw = word.encode("utf-8", "surrogatepass")
         shape = RUNS.sub(rb"\1", raw.translate(SHAPE))
-        code = self[word] = (zlib.crc32(raw.lower()) % REPEAT) << 20 | zlib.crc32(b"\0" + shape) % REPEAT
+        code = (zlib.crc32(raw.lower()) % REPEAT) << 20 | zlib.crc32(b"\0" + shape) % REPEAT
+        if len(word) <= SHORT:
+            self[word] = code
         return code
 
 
@@ -178,10 +181,11 @@ class Network:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most max_rows rows to learn from, the first ones by a hash of the id: id, text, label."""
+    """At most max_rows rows to learn from, the first ones by a hash of the id: id, text, label. Of rows that share an id, one text is taken, by its hash."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    chosen = known.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label")).orderBy(F.xxhash64("_id"), "_id", "label").limit(max_rows)
-    return docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("text")).join(chosen, F.col("_own") == F.col("_id")).select("_id", "text", "label")
+    chosen = known.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label")).distinct().orderBy(F.xxhash64("_id"), "_id", "label").limit(max_rows)
+    rows = docs.select(F.col(id_col).alias("_own"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, F.col("_own") == F.col("_id"))
+    return rows.groupBy("_id", "label").agg(F.max_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("_id", "text", "label")
 
 
 class Model:

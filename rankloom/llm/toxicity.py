@@ -7,7 +7,8 @@ part grows the trees, a third fits the isotonic map from their sum to a probabil
 the one before has already seen. All three parts together hold at most `max_rows` rows, chosen by hash.
 
 Defined results: a null text counts as empty; an empty text has the features zero and a score like any other;
-unlabelled rows and null labels are not learned from; a document that is labelled twice counts twice; with no
+unlabelled rows and null labels are not learned from; a document with two different labels counts once with each, and of rows
+that share an id one counts; with no
 labels, or only one kind, every score is the share of ones (0.5 without any); an empty table gives an empty
 result; other columns are ignored.
 """
@@ -23,7 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, in_batches
+from .common import in_batches
+from .quality import labelled
 
 #: Words of the second person in the four languages of the table.
 SECOND_PERSON = frozenset("you your yours yourself ya u du dich dir dein deine deiner ihr euch sie tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros tuyo vuestro".split())
@@ -32,7 +34,9 @@ PLAIN = str.maketrans("013457@$!|+", "oieastasilt")
 EDGES = ".,;:!?\"'()[]{}<>*#%&$-_/|~`…«»“”„’"
 MIXED = re.compile(r"(?=.*[^\W\d_])[^\W\d_]*[\d@$!*.+|_-]+[^\W\d_]+")
 LETTERS = re.compile(r"[^\W\d_]+")
-BEGINNINGS, CACHED, NEAR = (4, 5, 6), 400_000, 6
+BEGINNINGS, NEAR = (4, 5, 6), 6
+#: A worker keeps the details of so many words of at most so many characters.
+CACHED, SHORT = 400_000, 64
 #: Classes of bytes for the rates: capitals, small letters and other characters of words, digits, ! and ?, other signs, blanks.
 KINDS = np.array([0 if 65 <= b <= 90 else 1 if 97 <= b <= 122 else 2 if b >= 128 else 3 if 48 <= b <= 57 else 4 if b in b"!?" else 6 if b in b" \t\n\r\x0b\x0c" else 5 for b in range(256)], np.uint8)
 FEATURES = ("words", "lexicon_density", "lexicon_hits", "lexicon_max", "lexicon_mean", "hidden_density", "hidden_hits", "you_density", "you_near", "near_share", "capitals", "shouted", "exclaimed", "signs", "digits", "blanks", "beyond_ascii", "obfuscated", "word_length")
@@ -66,7 +70,8 @@ class Words(dict):
         at = self.rows.setdefault(found, len(self.rows) + 1) if any(found) else 0
         if at == len(self.details):
             self.details.append(found)
-        self[raw] = at
+        if len(raw) <= SHORT:
+            self[raw] = at
         return at
 
 
@@ -165,10 +170,8 @@ class Model:
     def __init__(self, docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 24_000, max_terms: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> None:
         self.id_col, self.text_col = id_col, text_col
         spark = docs.sparkSession
-        known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-        chosen = known.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label")).orderBy(F.xxhash64("_id"), "_id", "label").limit(max_rows)
         part = F.pmod(F.xxhash64(F.lit(3), F.col("_id")), F.lit(10))  # 0-4 lexicon, 5-7 trees, 8-9 calibration
-        rows = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("text")).join(chosen, F.col("_own") == F.col("_id")).select("text", "label", F.when(part < 5, 0).when(part < 8, 1).otherwise(2).alias("part"))
+        rows = labelled(docs, labels, label_col, max_rows, id_col, text_col).select("text", "label", F.when(part < 5, 0).when(part < 8, 1).otherwise(2).alias("part"))
         self.lexicon = spark.sparkContext.broadcast(self.learn_lexicon(rows.where("part = 0"), max_terms))
 
         def run(batches: Iterator[pd.DataFrame], lexicon=self.lexicon) -> Iterator[pd.DataFrame]:
