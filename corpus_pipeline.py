@@ -3,7 +3,7 @@
 All stages but the last return the columns of `documents`. A document that the quality classifier rejects goes; lines
 that an earlier document holds go, and n_chars with them; of each group of near copies (five-word shingles, Jaccard
 index of 0.8 or more) the first document stays; a document with ten words in a row of a benchmark item goes; what is
-left is encoded.
+left is encoded, and decoded again from its ids.
 
 Defined results: a null text counts as empty and is scored like any other; a document may lose all its lines and is an
 empty text from there on; documents without words are near copies of nothing; an empty table goes through all stages.
@@ -39,7 +39,8 @@ def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, bpe.default_path(spark)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Ids, and the text that they decode to: what a model is trained on."""
+    return bpe.encode(docs, bpe.default_path(spark), decoded=True).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
