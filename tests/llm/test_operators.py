@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small fixtures: nulls, empty texts, ties, repeats, clashing columns, empty tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -92,6 +93,27 @@ def test_exact_dedup(spark, tmp_path):
         assert sum(r["kept"] for r in got) == len(exact_brute(rows) and {r["text_sha256"] for r in got})
 
 
+def test_exact_dedup_goes_on(spark, tmp_path):
+    """A second run reads the files that are new, with the state of the first; a longer copy takes over as the row that stays."""
+    first = [(5, "a b"), (6, "ab"), (7, "c"), (9, None)]
+    more = [(1, "a  b "), (2, "c"), (3, "d"), (4, " ")]
+    table, at = str(tmp_path / "table"), str(tmp_path / "state")
+    frame(spark, first).write.parquet(table)
+    short = lambda df: sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in df.collect()), key=repr)
+    assert short(exact_dedup.exact_dedup(spark, table, at=at)) == exact_brute(first)
+    frame(spark, more).write.mode("append").parquet(table)
+    got = exact_dedup.exact_dedup(spark, table, at=at)
+    assert short(got) == exact_brute(first + more)
+    assert {r["doc_id"] for r in got.collect() if r["kept"]} == {r[1] for r in exact_brute(first + more)}
+    batches = spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/changes").groupBy("batch").sum("group_size").collect()
+    assert len(batches) == 2
+
+
+def test_exact_dedup_empty(spark, tmp_path):
+    frame(spark, []).limit(0).write.parquet(str(tmp_path / "none"))
+    assert exact_dedup.exact_dedup(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_exact_dedup_by_text(spark):
     rows = spark.createDataFrame([(1, "a", "f", 0, b"d"), (2, "b", "f", 1, b"d"), (3, "a ", "f", 2, b"d")], "doc_id long, text string, file string, row long, digest binary")
     got = exact_dedup._by_text(rows).select("doc_id", "keep_id", "group_size", "kept").collect()
@@ -235,8 +257,8 @@ def contamination_brute(docs, items, width=10):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 300])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize("known", [1 << 20, 3])
+def test_decontamination(spark, known):
     rng = random.Random(7)
     items = [(k, " ".join(words(rng, rng.randrange(1, 25), 30))) for k in range(12)] + [(50, None), (51, "!!"), (52, "W1É w2é"), (3, "w1é w2é")]
     docs = []
@@ -249,7 +271,7 @@ def test_decontamination(spark, block_bytes):
         docs.append((i, ", ".join(w).replace("w1é", "W1é")))
     docs += [(100, None), (101, ""), (102, "w1é-w2é W1éw2é")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.contamination(frame(spark, docs), bench, block_bytes=block_bytes).collect()
+    got = decontam.contamination(frame(spark, docs), bench, known=known).collect()
     assert {r["doc_id"]: (r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), sorted(r["items"])) for r in got} == contamination_brute(docs, items)
     kept = {r["doc_id"] for r in decontam.clean(frame(spark, docs), bench).collect()}
     assert kept == {i for i, (_, hit, _) in contamination_brute(docs, items).items() if not hit}
@@ -309,24 +331,52 @@ def test_jaccard_empty(spark):
     assert jaccard.families(frame(spark, []).limit(0)).count() == 0
 
 
-def test_segments_share_a_key():
-    """Sets at the threshold always share a key."""
+@pytest.mark.parametrize("block", [7, 1000])
+def test_jaccard_large_groups(spark, block, monkeypatch):
+    """Groups of many near copies, groups that come close to each other, a passage in many texts, and every link from a tree."""
+    rng = random.Random(12)
+    rows = []
+    base = words(rng, 120, 4000)
+    for g in range(3):
+        at = g * 13
+        own = [*base[:at], *words(rng, 25, 4000), *base[at + 25 :]]
+        for k in range(90):
+            w = list(own)
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = f"n{rng.random()}"
+            rows.append((len(rows), " ".join(w)))
+    passage = words(rng, 60, 4000)
+    rows += [(1000 + k, " ".join([*words(rng, 12, 10**6), *passage])) for k in range(80)]
+    rng.shuffle(rows)
+    got = sorted(map(tuple, jaccard.families(frame(spark, rows), 4, 85, block=block).collect()))
+    assert got == families_brute(rows, 4, 85)
+
+
+def test_jaccard_links_come_from_trees(spark, monkeypatch):
+    """Without links from the trees every node is alone: nothing else joins different texts."""
+    rows = near_copies(random.Random(4))
+    monkeypatch.setattr(jaccard, "tree_links", lambda *_: [])
+    texts = {}
+    for i, _, c in jaccard.families(frame(spark, rows), 4, 85).collect():
+        texts.setdefault(c, set()).add(" ".join((dict(rows)[i] or "").lower().split()))
+    assert all(len(t) == 1 for t in texts.values())
+    assert len(texts) > len({c for _, _, c in families_brute(rows, 4, 85)})
+
+
+def test_prefixes_share_enough():
+    """Sets at the threshold share as many hashes of their prefixes as shared() says."""
     import numpy as np
 
     rng = np.random.default_rng(1)
     for num in (80, 85):
-        segments = jaccard.Segments(num)
         for size in [*range(1, 60), 90, 130, 400, 1500]:
             for _ in range(4):
-                a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
-                b = a.copy()
-                while True:
-                    c = np.unique(np.concatenate([b[1:], rng.integers(0, 1 << 63, int(rng.integers(0, 2)), dtype=np.uint64)])) if len(b) > 1 else b
-                    if len(c) == len(b) == 1 or not jaccard.linked(a, c, num):
-                        break
-                    b = c
-                if len(a) != len(b) or (a != b).any():
-                    assert set(segments.keys(a)) & set(segments.keys(b)), (num, size)
+                a = b = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+                while jaccard.linked(a, b, num) and len(b) < 4 * size + 10:
+                    low, high = sorted((len(a), len(b)))
+                    assert len(np.intersect1d(jaccard.prefix(a, num), jaccard.prefix(b, num))) >= jaccard.shared(low, num) >= jaccard.shared((num * high + 99) // 100, num)
+                    c = np.delete(b, rng.integers(0, len(b), int(rng.integers(0, 2)))) if len(b) > 1 else b
+                    b = np.unique(np.concatenate([c, rng.integers(0, 1 << 63, int(rng.integers(0, 3)), dtype=np.uint64)]))
 
 
 def test_trees_find_all_links():
@@ -339,9 +389,9 @@ def test_trees_find_all_links():
         for _ in range(int(rng.integers(1, 5))):
             keep = base[rng.random(len(base)) < 0.95]
             sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 63, 2, dtype=np.uint64)])))
-    tree = jaccard.Tree(sets, np.arange(len(sets)))
+    tree = jaccard.Tree(sets)
     got = set()
-    for i, j in jaccard.traverse(tree, tree, 0.8, True):
+    for i, j in jaccard.traverse(tree, tree, 80, True):
         got |= {tuple(sorted((int(tree.order[p]), int(tree.order[q])))) for p, q in zip(i, j) if jaccard.linked(tree.sets[p], tree.sets[q], 80)}
     assert got == {(p, q) for q in range(len(sets)) for p in range(q) if jaccard.linked(sets[p], sets[q], 80)}
 
@@ -445,3 +495,125 @@ def test_trees_and_isotonic():
     assert ((score > 0) == (y == 1)).mean() > 0.97
     knots, level = toxicity.isotonic(score, y)
     assert (np.diff(level) >= 0).all() and (np.diff(knots) >= 0).all() and 0 <= level.min() and level.max() <= 1
+
+
+def features_brute(text, lexicon):
+    """The features of a text, counted one by one in plain Python."""
+    edges, you_words = toxicity.EDGES, toxicity.SECOND_PERSON
+    weight = lambda w: max((lexicon.get(t, 0.0) for t in [w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) > k)]), default=0.0)
+    raw = (text or "").encode()
+    if not raw:
+        return [0.0] * len(toxicity.FEATURES)
+    tokens = text.split()
+    found = []
+    for token in tokens:
+        word = token.strip(edges).lower()
+        mixed = bool(toxicity.MIXED.fullmatch(word)) and "@" not in word[1:-1] and len(word) < 30
+        plain = weight(word) if word else 0.0
+        letters = "".join(c if c.isalpha() else " " for c in word).replace(" ", "")
+        hidden = max(weight(word.translate(toxicity.PLAIN)), weight(letters)) if not plain and mixed else 0.0
+        found.append((plain, hidden, word in you_words, mixed))
+    n = max(1, len(tokens))
+    hits = [i for i, f in enumerate(found) if max(f[0], f[1]) > 0]
+    you = [i for i, f in enumerate(found) if f[2]]
+    weights = [max(f[0], f[1]) for f in found if max(f[0], f[1]) > 0]
+    gaps = [min(abs(i - j) for j in you) for i in hits] if you else []
+    byte = lambda test: sum(map(test, raw)) / len(raw)
+    capitals, small = byte(lambda b: 65 <= b <= 90), byte(lambda b: 97 <= b <= 122)
+    blank, asked, digit = byte(lambda b: b in b" \t\n\r\x0b\x0c"), byte(lambda b: b in b"!?"), byte(lambda b: 48 <= b <= 57)
+    beyond = byte(lambda b: b >= 128)
+    return [
+        math.log1p(len(tokens)), sum(weights) / n, math.log1p(len(hits)), max(weights, default=0), sum(weights) / max(1, len(hits)),
+        sum(f[1] > 0 for f in found) / n, math.log1p(sum(f[1] > 0 for f in found)), len(you) / n, 1 / (min(gaps) + 1) if gaps else 0, sum(g <= toxicity.NEAR for g in gaps) / len(gaps) if gaps else 0,
+        capitals, float(capitals / max(capitals + small, 1e-9) > 0.6), asked, 1 - capitals - small - blank - asked - digit - beyond, digit, blank, beyond, sum(f[3] for f in found) / n, len(raw) / n,
+    ]
+
+
+def test_toxicity_features_are_the_plain_count():
+    rng = random.Random(14)
+    lexicon = {"idiot": 3.0, "stup*": 2.5, "morons": 2.2, "garb*": 4.0}
+    pool = ["you", "Your", "idiot", "IDIOT!", "1diot", "st.u.p.i.d", "stupid", "garbage?", "g@rbage", "mor0ns", "the", "Éclair", "42", "...", "du", "a@b.c", "x" * 90]
+    texts = [None, "", " ", "IDIOT", "you idiot!"] + [" ".join(rng.choice(pool) for _ in range(rng.randrange(1, 40))) for _ in range(200)]
+    words = toxicity.Words(lexicon)
+    for text in texts:
+        assert toxicity.features(text, words) == pytest.approx(features_brute(text, lexicon), abs=1e-9), text
+    assert not any(len(w) > toxicity.SHORT for w in words)
+
+
+def test_word_vectors_are_the_plain_sums(spark):
+    """Sums of index vectors of neighbours, and their mean and spread over a document, against loops over words."""
+    import numpy as np
+
+    rng = random.Random(15)
+    texts = [None, "", "one"] + [" ".join(words(rng, rng.randrange(1, 30), 20)) for _ in range(40)] + ["word word other word"]
+    at, sign = quality.index_vectors()
+    index = np.zeros((quality.ROWS + 1, quality.DIM))
+    for r in range(quality.ROWS):
+        for j, s in zip(at[r], sign[r]):
+            index[r, j] += s
+    rows = [quality.rows_of(t, quality.Codes()).tolist() for t in texts]
+    expected = np.zeros((quality.ROWS, quality.DIM))
+    for r in rows:
+        for i, own in enumerate(r):
+            for j in range(max(0, i - quality.REACH), min(len(r), i + quality.REACH + 1)):
+                if j != i:
+                    expected[own] += index[r[j]]
+    got = quality.context_sums(frame(spark, list(enumerate(texts))))
+    assert (got == expected).all() and got.any()
+    vectors = rng_vectors = np.random.default_rng(2).random((quality.ROWS, quality.DIM)).astype(np.float32)
+    for r, x in zip(rows, quality.pooled(texts, rng_vectors, quality.Codes())):
+        v = np.array([vectors[i] for i in r], np.float64).reshape(len(r), quality.DIM)
+        if len(r):
+            assert x[: quality.DIM] == pytest.approx(v.mean(axis=0), abs=1e-4) and x[quality.DIM : 2 * quality.DIM] == pytest.approx(v.std(axis=0), abs=1e-3)
+        else:
+            assert not x.any()
+
+
+def test_labelled_rows_have_a_bound(spark):
+    """A labelled id on very many rows gives one row to learn from, and the text that is taken doesn't depend on the order."""
+    docs = [(1, f"text {i}") for i in range(500)] + [(i, "t") for i in range(2, 40)]
+    labels = spark.createDataFrame([(i, 1 if i % 2 else 0) for i in range(1, 40)] + [(1, 1)], "doc_id long, quality int")
+    got = quality.labelled(frame(spark, docs), labels, "quality", 1000).collect()
+    assert len(got) == len({r["_id"] for r in got}) <= 39
+    again = quality.labelled(frame(spark, docs[::-1]), labels, "quality", 1000).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+# --- SQL ------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_queries_are_their_sql(spark, name):
+    import duckdb
+
+    sf, c = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df, found = registry.QUERIES[name](spark, sf), c.execute(registry.ORACLE_SQL[name])
+    columns = [d[0] for d in found.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted((tuple(r[n] for n in columns) for r in df.collect()), key=repr) == sorted(found.fetchall(), key=repr)
+
+
+# --- long texts and leading spaces ----------------------------------------------------------------------------------
+
+
+def test_pii_long_text(spark):
+    """A text of 20,000 words with an entity and a disclosing name is searched in linear time."""
+    import time
+
+    rng = random.Random(16)
+    plain = [rng.choice(["bread", "milk", "people", "walk", "again", "town"]) for _ in range(20_000)]
+    long = " ".join([*plain[:10_000], "ask Brelmo at one@corp.example.com for bread", *plain[10_000:], "Brelmo"])
+    rows = [(1, long), (2, "people ask Brelmo at one@corp.example.com again")] + [(10 + i, f"people ask and walk in town at bread for again {i}") for i in range(50)]
+    pii.find(frame(spark, rows[1:])).collect()
+    began = time.perf_counter()
+    got = {r["doc_id"]: [long[s["start"] : s["end"]] for s in r["added"]] for r in pii.find(frame(spark, rows)).collect()}
+    assert got[1] == ["Brelmo", "Brelmo"] and time.perf_counter() - began < 40
+
+
+def test_running_sums(spark):
+    rng = random.Random(17)
+    rows = [(i, [rng.randrange(9) for _ in range(n)]) for i, n in enumerate((0, 1, 2, 255, 256, 257, 512, 3000))]
+    got = spark.createDataFrame(rows, "i int, n array<int>").select("i", pii.running_sums(F.col("n")).alias("s")).collect()
+    assert {r["i"]: r["s"] for r in got} == {i: [sum(n[: k + 1]) for k in range(len(n))] for i, n in rows}

@@ -28,3 +28,14 @@ def test_stages(spark, tmp_path):
     assert clean == {i: t for i, t in firsts.items() if not hits[i][1]}
     library = Tokenizer.from_file(bpe.default_path(spark))
     assert {r["doc_id"]: list(r["ids"]) for r in kept[-1].collect()} == {i: library.encode(t, add_special_tokens=False).ids for i, t in clean.items()}
+    assert {r["doc_id"]: r["text"] for r in kept[-1].collect()} == clean
+
+
+def test_first_line_dropped(spark, tmp_path):
+    """A text that begins with a space once its first line is gone goes through the last stages."""
+    rows = [(i, f"a line that many documents share\n only{i} here" if i else "a line that many documents share", "en", "s", 9) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    cut = stages["line_dedup"](spark, docs, SF)
+    got = {r["doc_id"]: r["text"] for r in stages["bpe"](spark, cut, SF).collect()}
+    assert got == {0: "a line that many documents share", **{i: f" only{i} here" for i in range(1, 6)}}
