@@ -129,7 +129,9 @@ def disclosing_terms(base: DataFrame, docs: DataFrame, text_col: str, chance: fl
     text = F.coalesce(F.col(text_col), F.lit(""))
     counted = written(docs.select(F.explode(terms_of(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "pii-terms")
     # all occurrences in a text where the term is near the entity once; copies of a text count as often as in n_term
-    inside = docs.join(near.select("text_mark").distinct(), "text_mark", "left_semi").select("text_mark", F.explode(terms_of(text)).alias("term")).groupBy("text_mark", "term").agg(F.count("*").alias("n_inside"))
+    marks = near.select("text_mark").distinct().join(base.groupBy("text_mark").agg(F.count("*").alias("n")), "text_mark")
+    held_in = matched(docs, marks, "text_mark", "n", docs.count()).where(F.col("of").isNotNull())
+    inside = held_in.select("text_mark", F.explode(terms_of(text)).alias("term")).groupBy("text_mark", "term").agg(F.count("*").alias("n_inside"))
     both = near.select("entity", "term", "text_mark").distinct().join(inside, ["text_mark", "term"]).groupBy("entity", "term").agg(F.sum("n_inside").alias("n_both"))
     seen = near.groupBy("entity", "term").agg(F.countDistinct("surroundings").alias("ways"), F.countDistinct("text_mark").alias("texts"), F.max("named").alias("named"))
     pairs = written(seen.join(both, ["entity", "term"]), "pii-pairs")
