@@ -254,10 +254,14 @@ def families(docs: DataFrame, n: int = 5, num: int = 80, id_col: str = "doc_id",
     held = written(_held(rows, named, family, keyed, block), "jaccard-held")
     joined = _joined(held, keyed, n, num, block)
     discard(keyed, held)
-    rooted = named.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = rooted.join(least, "root", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    # from copies to nodes, to components and back: a node, or a component, may have very many of the rows
+    nodes = named.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    rooted = written(nodes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-roots")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("nodes")).where("nodes > 1")
+    above = matched(rooted, least, "root", "nodes", rooted.count())
+    of_node = written(above.where("n > 1 or of is not null").select("node", "n", F.when(F.col("of").isNull(), F.col("first")).otherwise(F.col("of.least")).alias("least")), "jaccard-least")
+    out = matched(named, of_node, "node", "n", named.count())
+    return out.select("doc_id", "n_shingles", F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("of.least")).alias("component_id"))
 
 
 def _keys(rows: DataFrame, n: int, num: int) -> DataFrame:
