@@ -245,6 +245,10 @@ def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.calibrated(truth).withColumn("mae", to_places(F.col("mae"), 6))
 
 
+#: The name that the whole search had beside a smaller one.
+QUERIES["q_grid_search_all"], SQL["q_grid_search_all"] = grid_search, SQL["q_grid_search"]
+
+
 @query("q_tile_xy", f"with {PLACES_SQL} select k, floor((lng + 180) / 360 * 16384.0::double)::bigint as x, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16384.0::double)::bigint as y from places")
 def tile_xy(spark: SparkSession, sf: str) -> DataFrame:
     return standins.places(spark, sf).select("k", geo.tile_x(F.col("lng")).alias("x"), geo.tile_y(F.col("lat")).alias("y"))
