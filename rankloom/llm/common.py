@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,12 @@ def in_batches(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.
     return df.mapInPandas(f, schema)
 
 
+def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def own_dir(spark: SparkSession) -> str:
     """This application's part of the shared folder."""
     return f"{shared_dir(spark)}/rankloom-{spark.sparkContext.applicationId}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, jaccard, line_dedup, pii, quality, sharding, toxicity, warc
+from . import bpe, decontam, exact_dedup, jaccard, line_dedup, pii, quality, resampling, sharding, toxicity, warc
 from .common import held_out, table
 
 BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -69,6 +69,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(quality.Model(docs, table(spark, sf_dir, "labels")).score(docs), 0.3)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -80,6 +85,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
+    "op11_resampling": op11_resampling,
 }
 
 ORACLE_SQL = {
@@ -109,4 +115,23 @@ ORACLE_SQL = {
         with d as (select doc_id, coalesce(text, '') as t, translate(coalesce(text, ''), {BLANKS_SQL}, '') as n from documents),
         r as (select *, first_value(doc_id) over w as keep_id, count(*) over (partition by n) as group_size from d window w as (partition by n order by length(t) desc, doc_id))
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(n) as text_sha256 from r""",
+    # the CRC of each distinct feature, byte by byte
+    "op11_resampling": f"""
+        with recursive x as materialized (select list(c order by b) as t from (select b, list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b) as c from range(256) r(b))),
+        d as (select doc_id, 's' as side, {WORDS_SQL} as w from documents union all select null, 't', {WORDS_SQL} from benchmark),
+        r as (select row_number() over () as row, * from d),
+        g as (select row, side, w, unnest([1, 2, 3]) as n from r),
+        f as (select row, side, array_to_string(w[i:i + n - 1], ' ') as feature from (select row, side, w, n, unnest(range(1, len(w) - n + 2)) as i from g)),
+        u as (select feature, hex(encode(feature)) as h from (select distinct feature from f)),
+        k as (select feature, xor(4294967295::bigint, list_reduce(range(0, len(h) // 2), lambda c, i: xor(c >> 8, t[1 + (xor(c, ('0x' || h[2 * i + 1:2 * i + 2])::bigint) & 255)]), 4294967295::bigint)) % 10000 as bucket from u, x),
+        m as (select row, side, bucket from f join k using (feature)),
+        c as (select bucket, count(*) filter (side = 's') as s, count(*) filter (side = 't') as t from m group by bucket),
+        a as (select sum(s) as ss, sum(t) as tt from c),
+        q as (select bucket, floor(1000 * ln(((t + 1)::double * (ss + 10000)::double) / ((s + 1)::double * (tt + 10000)::double)))::bigint as gain from c, a),
+        w as (select row, count(*) as n_features, sum(gain)::bigint as weight from m join q using (bucket) where side = 's' group by row),
+        z as (select doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+                     ('0x' || sha256('42:' || doc_id::varchar)[1:8])::bigint as h from r left join w using (row) where side = 's'),
+        v as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score from z),
+        o as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place, count(*) filter (n_words >= 20) over () as total from v)
+        select doc_id, n_features, weight, score, case when n_words >= 20 and place <= total * 5 // 100 then place end as rank from o""",
 }
