@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, jaccard, line_dedup, pii, quality, resampling, sharding, toxicity, warc
+from . import bpe, collocations, decontam, exact_dedup, jaccard, line_dedup, pii, quality, resampling, sharding, toxicity, warc
 from .common import held_out, table
 
 BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -74,6 +74,10 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -86,6 +90,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
     "op11_resampling": op11_resampling,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLE_SQL = {
@@ -134,4 +139,17 @@ ORACLE_SQL = {
         v as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score from z),
         o as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place, count(*) filter (n_words >= 20) over () as total from v)
         select doc_id, n_features, weight, score, case when n_words >= 20 and place <= total * 5 // 100 then place end as rank from o""",
+    "op12_collocations": r"""
+        with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+        w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from p),
+        g as (select lang, w, unnest([1, 2, 3, 4]) as n from w),
+        f as (select lang, n, phrase, count(*) as f from (select lang, n, array_to_string(w[i:i + n - 1], ' ') as phrase from (select lang, w, n, unnest(range(1, len(w) - n + 2)) as i from g)) group by all),
+        c as (select lang, n, phrase, f as a, string_split(phrase, ' ') as w from f where n > 1 and f >= 30),
+        k as (select c.*, k, array_to_string(w[:k], ' ') as first, array_to_string(w[k + 1:], ' ') as rest from (select *, unnest(range(1, n)) as k from c) c),
+        s as (select k.lang, k.phrase, k.n, k.a, k, x.f as l, y.f as r, 2000000::hugeint * k.a // (x.f + y.f) as score from k join f x on x.lang = k.lang and x.phrase = k.first join f y on y.lang = k.lang and y.phrase = k.rest),
+        b as (select lang, phrase, n, a, arg_min(struct_pack(l := l, r := r, score := score), struct_pack(score := score, k := k)) as m from s group by all),
+        d as (select b.lang, b.phrase, a, m from b where not exists (select 1 from c where c.lang = b.lang and c.n > b.n and contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') and 100::hugeint * c.a >= 80 * b.a)),
+        t as (select lang, sum(len(w))::bigint as n from w group by lang),
+        o as (select lang, phrase, a, m.l as l, m.r as r, m.score::bigint as score, row_number() over (partition by lang order by m.score desc, a desc, phrase) as rank from d)
+        select lang, rank, phrase, a, l, r, n, score from o join t using (lang) where rank <= 2000""",
 }
