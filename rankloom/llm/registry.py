@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, decontam, exact_dedup, jaccard, line_dedup, pii, quality, resampling, sharding, toxicity, warc
+from . import bpe, collocations, decontam, exact_dedup, jaccard, line_dedup, pii, quality, reputation, resampling, sharding, toxicity, warc
 from .common import held_out, table
 
 BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -78,6 +78,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of its id: bad if toxic or of low quality."""
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    return reputation.judged(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict", F.round("bound", 6).alias("bound"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -91,6 +97,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_resampling": op11_resampling,
     "op12_collocations": op12_collocations,
+    "op13_url_filter": op13_url_filter,
 }
 
 ORACLE_SQL = {
@@ -152,4 +159,34 @@ ORACLE_SQL = {
         t as (select lang, sum(len(w))::bigint as n from w group by lang),
         o as (select lang, phrase, a, m.l as l, m.r as r, m.score::bigint as score, row_number() over (partition by lang order by m.score desc, a desc, phrase) as rank from d)
         select lang, rank, phrase, a, l, r, n, score from o join t using (lang) where rank <= 2000""",
+    # levels from all pages down to hosts; how strongly each pulls is between half a page and 1,000
+    "op13_url_filter": f"""
+        with r as (select page_id, regexp_extract(coalesce(url, ''), '^.*?://(.*)$', 1, 's') as rest from pages),
+        p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r),
+        b as (select doc_id as page_id, max(case when toxic = 1 or quality = 0 then 1 when toxic is not null and quality is not null then 0 end) as bad from labels group by doc_id),
+        h as (select host, count(bad) as n, coalesce(sum(bad), 0) as k from p left join b using (page_id) group by host),
+        c as (select *, regexp_replace(regexp_replace(host, '^.*@', ''), '\\.?(:[0-9]*)?$', '') as plain from h),
+        l as (select *, string_split(plain, '.') as w, regexp_matches(plain, '^[0-9.]+$|^\\[') or not contains(plain, '.') as alone from c),
+        e as (select *, len(w) > 2 and array_to_string(w[-2:], '.') in ({', '.join(repr(x) for x in reputation.SUFFIXES)}) as two from l),
+        d as (select host, n, k, plain, case when alone then plain else array_to_string(w[case when two then -3 else -2 end:], '.') end as domain,
+                     case when alone then '' else array_to_string(w[case when two then -2 else -1 end:], '.') end as suffix from e),
+        hs as (select suffix, domain, plain, sum(n) as n, sum(k) as k from d group by all),
+        ds as (select suffix, domain, sum(n) as n, sum(k) as k from hs group by all),
+        ss as (select suffix, sum(n) as n, sum(k) as k from ds group by all),
+        s1 as (select *, ((select sum(k) from ss) + 1) / ((select sum(n) from ss) + 2) as above from ss),
+        s2 as (select {{sums}} from s1), s3 as (select suffix, (k + pages * above) / (n + pages) as above from s1, s2),
+        d1 as (select ds.*, above from ds join s3 using (suffix)),
+        d2 as (select {{sums}} from d1), d3 as (select suffix, domain, (k + pages * above) / (n + pages) as above from d1, d2),
+        h1 as (select hs.*, above from hs join d3 using (suffix, domain)),
+        h2 as (select {{sums}} from h1), h3 as (select plain, n + pages as strength, (k + pages * above) / (n + pages) as mean from h1, h2),
+        o as (select host, mean - 1.645 * sqrt(mean * (1 - mean) / (strength + 1)) as bound from d join h3 using (plain)),
+        f as (select page_id, host, path, bound, case
+            when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then ['example.net/en/', 'allow']
+            when (host = 'example.com' or host like '%.example.com') and path like '/de/%' then ['example.com/de/', 'block']
+            when (host = 'org' or host like '%.org') and path like '/fr/%' then ['org/fr/', 'allow']
+            when (host = 'net' or host like '%.net') and path like '/%' then ['net/', 'block'] end as rule from p join o using (host))
+        select page_id, host, path, rule[1] as rule, coalesce(rule[2], case when bound > 0.5 then 'block' else 'allow' end) as verdict, round(bound, 6) as bound from f""".replace(
+        "{sums}",
+        "coalesce(least(greatest(1 / greatest((sum((k - n * above) ** 2) - sum(n * above * (1 - above))) / nullif(sum(n * above * (1 - above) * (n - 1)), 0), 1e-9) - 1, 0.5), 1000.0), 1000.0) as pages",
+    ),
 }
