@@ -40,7 +40,7 @@ from .jaccard import mixed
 MARKS = b".,;:!?\n\x0b\x0c\r"
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 10 if b in MARKS else 32 if b == 9 else b for b in range(256))
 #: Bytes of text in a shard, and how many are held at most while languages wait for theirs to be full.
-SHARD, HELD = 8 << 20, 32 << 20
+SHARD, HELD = 4 << 20, 12 << 20
 LONGEST = 4
 
 
