@@ -5,8 +5,8 @@ three words each (or of all its words, where it has fewer); a document holds a w
 a window's shingles, put in order of rarity over all documents, the first is a sufficient prefix. Windows and documents
 are joined on that shingle alone. Its place in both bounds where the window may begin and end; what fits inside the
 document is then compared word for word. Both passes over the documents, which count shingles and find prefixes, are the
-same whatever the size of the benchmark: they know its shingles if these are at most `known` numbers, sent to all tasks,
-and let the join choose among all shingles otherwise.
+same whatever the size of the benchmark: a Bloom filter of bounded size tells which shingles may be the benchmark's, and
+the join tells which are. A shingle that very many documents have is spread over tasks.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no windows; repeated items
 count once; repeated documents are each returned; an empty benchmark or an empty table of documents gives zero hits or
@@ -24,6 +24,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import spread_join
+from . import bloom
 from .common import in_batches, unused, written
 
 #: Bytes to bytes: A-Z in lower case; digits, letters and all of UTF-8's longer characters stay; anything else is a space.
@@ -79,29 +81,21 @@ def windows(texts: DataFrame, width: int) -> DataFrame:
     return in_batches(texts, cut, "text_key string, words string, n int, size int, shingle long, offset int")
 
 
-def known_shingles(found: DataFrame, known: int) -> tuple[list[int], Broadcast | None]:
-    """The sizes of shingles that occur, and the sorted shingles themselves if there are at most `known`."""
-    distinct = found.select("shingle").distinct()
+def wanted_shingles(found: DataFrame) -> tuple[list[int], Broadcast]:
+    """The sizes of shingles that occur, and a Bloom filter of the shingles."""
+    distinct = found.select(F.col("shingle").alias("h")).distinct()
     sizes = sorted(r["size"] for r in found.select("size").distinct().toLocalIterator())  # SHINGLE rows at most
-    if distinct.count() > known:
-        return sizes, None
-    wanted = np.sort(np.array([r["shingle"] for r in distinct.toLocalIterator()], np.int64))
-    return sizes, found.sparkSession.sparkContext.broadcast(wanted)
+    return sizes, bloom.made(distinct, distinct.count())
 
 
-def among(found: np.ndarray, wanted: Broadcast | None) -> np.ndarray:
-    """Places in found of what is wanted; all where that isn't known."""
-    if wanted is None:
-        return np.arange(len(found))
-    if not len(wanted.value):
-        return np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(wanted.value, found), len(wanted.value) - 1)
-    return np.flatnonzero(wanted.value[at] == found)
+def among(found: np.ndarray, wanted: Broadcast) -> np.ndarray:
+    """Places in found of what may be wanted."""
+    return np.flatnonzero(bloom.has(wanted.value, found.view(np.uint64)))
 
 
-def counts(rows: DataFrame, found: DataFrame, known: int) -> DataFrame:
-    """shingle and in how many documents it is, over all documents, for all of the benchmark's shingles (and others, where these aren't known)."""
-    sizes, wanted = known_shingles(found, known)
+def counts(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """shingle and in how many documents it is, over all documents, for all of the benchmark's shingles and others that the filter lets through."""
+    sizes, wanted = wanted_shingles(found)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -117,9 +111,9 @@ def counts(rows: DataFrame, found: DataFrame, known: int) -> DataFrame:
     return in_batches(rows.select("text"), run, "shingle long, n_docs long").groupBy("shingle").agg(F.sum("n_docs").alias("n_docs"))
 
 
-def occurrences(rows: DataFrame, prefixes: DataFrame, width: int, known: int) -> DataFrame:
+def occurrences(rows: DataFrame, prefixes: DataFrame, width: int) -> DataFrame:
     """doc_id, mark (a hash of the text), n_words, and where prefixes are: shingle, its place, and the words around it from place `begin` on."""
-    sizes, wanted = known_shingles(prefixes, known)
+    sizes, wanted = wanted_shingles(prefixes)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,25 +133,25 @@ def occurrences(rows: DataFrame, prefixes: DataFrame, width: int, known: int) ->
     return in_batches(rows.select("doc_id", F.xxhash64("text").alias("mark"), "text"), run, f"doc_id {kind}, mark long, n_words long, at array<struct<shingle: long, size: int, place: int, begin: int, around: string>>")
 
 
-def search(docs: DataFrame, benchmark: DataFrame, width: int, id_col: str, text_col: str, item_col: str, item_text_col: str, known: int) -> tuple[DataFrame, DataFrame]:
+def search(docs: DataFrame, benchmark: DataFrame, width: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
     """All documents (doc_id, mark, n_words) and the windows in them (doc_id, mark, start, end, text_key), and so the two tables that the rest is made of."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     texts = benchmark.select(F.col(item_text_col).alias("text")).where(F.col("text").isNotNull()).distinct().select(F.sha2("text", 256).alias("text_key"), "text")
     found = written(windows(texts, width), "decontam-windows")
-    ranked = found.join(counts(rows, found, known), "shingle", "left")
+    ranked = found.join(counts(rows, found), "shingle", "left")
     rarest = F.min(F.struct(F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "shingle", "offset", "size")).alias("rarest")
     prefixes = written(ranked.groupBy("text_key", "words", "n").agg(rarest).select("text_key", "words", "n", "rarest.shingle", "rarest.offset", "rarest.size"), "decontam-prefixes")
-    all_docs = written(occurrences(rows, prefixes, width, known), "decontam-documents")
-    places = all_docs.where(F.size("at") > 0).select("doc_id", "mark", "n_words", F.explode("at").alias("o")).select("doc_id", "mark", "n_words", "o.*")
-    met = places.join(prefixes, ["shingle", "size"]).withColumn("start", F.col("place") - F.col("offset"))
+    all_docs = written(occurrences(rows, prefixes, width), "decontam-documents")
+    places = written(all_docs.where(F.size("at") > 0).select("doc_id", "mark", "n_words", F.explode("at").alias("o")).select("doc_id", "mark", "n_words", "o.*"), "decontam-places")
+    met = spread_join(places, prefixes, ["shingle", "size"]).withColumn("start", F.col("place") - F.col("offset"))
     inside = met.where((F.col("start") >= F.col("begin")) & (F.col("start") + F.col("n") <= F.col("n_words")))
     same = inside.where(F.array_join(F.slice(F.split("around", " "), F.col("start") - F.col("begin") + 1, F.col("n")), " ") == F.col("words"))
     return all_docs.select("doc_id", "mark", "n_words"), written(same.select("doc_id", "mark", "start", (F.col("start") + F.col("n")).alias("end"), "text_key").distinct(), "decontam-hits")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", known: int = 1 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, n_words, spans (array of start and end in words), items (array of item ids)."""
-    all_docs, hits = search(docs, benchmark, width, id_col, text_col, item_col, item_text_col, known)
+    all_docs, hits = search(docs, benchmark, width, id_col, text_col, item_col, item_text_col)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     named = benchmark.select(F.col(item_col).alias("item_id"), F.sha2(item_text_col, 256).alias("text_key")).distinct()
     items = hits.select("doc_id", "mark", "text_key").distinct().join(named, "text_key").groupBy("doc_id", "mark").agg(F.collect_set("item_id").alias("items"))
@@ -173,9 +167,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     return both.select("doc_id", "n_words", F.coalesce("spans", F.expr("cast(array() as array<struct<start: int, end: int>>)")).alias("spans"), F.coalesce("items", F.expr(f"cast(array() as array<{item_kind}>)")).alias("items"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", known: int = 1 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs, all columns, less those that hold a window of an item."""
     key, mark = unused(docs, "_key", "_mark")
-    _, hits = search(docs, benchmark, width, id_col, text_col, item_col, item_text_col, known)
+    _, hits = search(docs, benchmark, width, id_col, text_col, item_col, item_text_col)
     bad = hits.select(F.col("doc_id").alias(key), F.col("mark").alias(mark)).distinct()
     return docs.join(bad, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(mark)), "left_anti")
