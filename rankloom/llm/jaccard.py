@@ -243,12 +243,14 @@ def families(docs: DataFrame, n: int = 5, num: int = 80, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [(len(s), set_name(s) if len(s) else None) for s in (shingles(t, n) for t in b["text"])]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [g[0] for g in got], "node": pd.array([g[1] for g in got], "Int64")})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "mark": b["mark"], "n_shingles": [g[0] for g in got], "node": pd.array([g[1] for g in got], "Int64")})
 
-    named = written(in_batches(rows, name, f"doc_id {kind}, n_shingles long, node long"), "jaccard-names")
+    named = written(in_batches(rows, name, f"doc_id {kind}, mark long, n_shingles long, node long"), "jaccard-names")
     keyed = written(_keys(rows, n, num), "jaccard-keys")
     family = components(_ties(keyed), "jaccard-families")
     held = written(_held(rows, named, family, keyed, block), "jaccard-held")
@@ -341,10 +343,14 @@ def _ties(keyed: DataFrame) -> DataFrame:
 
 
 def _held(rows: DataFrame, named: DataFrame, family: DataFrame, keyed: DataFrame, block: int) -> DataFrame:
-    """The nodes of families, each with a text that has its set: family, chunk, node, text. Where rows share an id, texts of other sets and repeats may be among them."""
+    """The nodes of families, each with a text that has its set, from the row with the least id and hash of the text: family, chunk, node, text. Of rows with the same id and text, one is taken."""
     member = written(family.select("node", F.col("root").alias("family")).unionByName(family.select(F.col("root").alias("node"), F.col("root").alias("family")).distinct()), "jaccard-members")
-    holder = named.groupBy("node").agg(F.min("doc_id").alias("_id")).join(_chunked(member, keyed, min(block, CHUNK)), "node")
-    return rows.join(holder, rows["doc_id"].eqNullSafe(holder["_id"])).select("family", "chunk", "node", "text")
+    key = F.struct("doc_id", "mark").alias("key")
+    where = named.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(key).alias("key")).join(_chunked(member, keyed, min(block, CHUNK)), "node")
+    holder = where.groupBy("key").agg(F.collect_list(F.struct("family", "chunk", "node")).alias("places"))  # of one node: a place in each chunk at most
+    known = holder.join(named.groupBy(key).agg(F.count("*").alias("n")), "key")
+    texts = matched(rows.select(key, "text"), known, "key", "n", named.count()).where(F.col("of").isNotNull())
+    return texts.select(F.explode("of.places").alias("p"), "text").groupBy("p.family", "p.chunk", "p.node").agg(F.first("text").alias("text"))
 
 
 def _chunked(member: DataFrame, keyed: DataFrame, each: int) -> DataFrame:

@@ -4,12 +4,13 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, decontam, exact_dedup, jaccard, line_dedup, pii, quality, registry, sharding, toxicity, warc
+from rankloom.llm import bloom, bpe, decontam, exact_dedup, jaccard, line_dedup, pii, quality, registry, sharding, toxicity, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD = str.maketrans(UPPER, LOWER)
@@ -257,8 +258,10 @@ def contamination_brute(docs, items, width=10):
     return out
 
 
-@pytest.mark.parametrize("known", [1 << 20, 3])
-def test_decontamination(spark, known):
+@pytest.mark.parametrize("most", [28, 7])
+def test_decontamination(spark, most, monkeypatch):
+    """With a filter that lets nearly everything through, results are the same."""
+    monkeypatch.setattr(bloom, "MOST", most)
     rng = random.Random(7)
     items = [(k, " ".join(words(rng, rng.randrange(1, 25), 30))) for k in range(12)] + [(50, None), (51, "!!"), (52, "W1É w2é"), (3, "w1é w2é")]
     docs = []
@@ -271,12 +274,20 @@ def test_decontamination(spark, known):
         docs.append((i, ", ".join(w).replace("w1é", "W1é")))
     docs += [(100, None), (101, ""), (102, "w1é-w2é W1éw2é")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.contamination(frame(spark, docs), bench, known=known).collect()
+    got = decontam.contamination(frame(spark, docs), bench).collect()
     assert {r["doc_id"]: (r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), sorted(r["items"])) for r in got} == contamination_brute(docs, items)
     kept = {r["doc_id"] for r in decontam.clean(frame(spark, docs), bench).collect()}
     assert kept == {i for i, (_, hit, _) in contamination_brute(docs, items).items() if not hit}
 
 
+def test_decontamination_word_that_all_have(spark):
+    """An item of one word that every document has is found in all of them."""
+    rows = [(i, f"common w{i} " + "x " * (i % 7)) for i in range(3_000)]
+    bench = spark.createDataFrame([(1, "common"), (2, "never there")], "item_id long, text string")
+    got = decontam.contamination(frame(spark, rows), bench).collect()
+    assert len(got) == 3_000 and all(r["items"] == [1] and [tuple(s) for s in r["spans"]] == [(0, 1)] for r in got)
+
+
 def test_decontamination_without_items(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [r["items"] for r in decontam.contamination(frame(spark, [(1, "a b")]), bench).collect()] == [[]]
@@ -327,6 +338,27 @@ def test_jaccard(spark, n, num):
     assert got == families_brute(rows, n, num)
 
 
+def test_jaccard_repeated_and_null_ids(spark):
+    """Rows that share an id, or have none, are documents of their own; they cost no more than others."""
+    rng = random.Random(12)
+    took = {}
+    for name in ("first", "own", "one", "none"):
+        rows = []
+        for k in range(500):
+            w = words(rng, 60, 5_000)
+            rows += [" ".join(w), " ".join([*w, "more"])] * 2
+        ids = {"own": range(2_000), "first": range(2_000), "one": [7] * 2_000, "none": [None] * 2_000}[name]
+        began = time.perf_counter()
+        got = jaccard.families(frame(spark, list(zip(ids, rows))), 4, 85).collect()
+        took[name] = time.perf_counter() - began
+        assert len(got) == 2_000
+        if name == "own":
+            assert all(r["component_id"] == r["doc_id"] // 4 * 4 for r in got)
+        else:
+            assert name == "first" or {r["component_id"] for r in got} == {ids[0]}
+    assert max(took["one"], took["none"]) < 2 * took["own"] + 3, took
+
+
 def test_jaccard_empty(spark):
     assert jaccard.families(frame(spark, []).limit(0)).count() == 0
 
