@@ -40,7 +40,7 @@ from .jaccard import mixed
 MARKS = b".,;:!?\n\x0b\x0c\r"
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 10 if b in MARKS else 32 if b == 9 else b for b in range(256))
 #: Bytes of text in a shard, and how many are held at most while languages wait for theirs to be full.
-SHARD, HELD = 4 << 20, 12 << 20
+SHARD, HELD = 2 << 20, 6 << 20
 LONGEST = 4
 
 
@@ -133,8 +133,9 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, n
                 full = max(size, key=size.get)
                 total -= size.pop(full)
                 yield (full, *_ids(held.pop(full)))
-    for lang, texts in held.items():
-        yield (lang, *_ids(texts))
+                pa.default_memory_pool().release_unused()
+    for lang in list(held):
+        yield (lang, *_ids(held.pop(lang)))
 
 
 def _ids(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
