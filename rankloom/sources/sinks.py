@@ -1,4 +1,4 @@
-"""Sinks: appends, atomic refreshes, ordered JSON, documents, valid and rejected rows."""
+"""Sinks: appends, refreshes, ordered JSON, documents, valid and rejected rows."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def refresh(df: DataFrame, path: str) -> None:
-    """Replaces the table; readers see the old or the new files."""
+    """Replaces the table's files; readers meanwhile may miss some. For tables that are read while they are replaced there is versions.refresh."""
     df.write.mode("overwrite").parquet(path)
 
 
