@@ -76,11 +76,16 @@ def ring_area(ring: Column) -> Column:
     return F.when(F.size(ring) >= 3, F.abs(F.aggregate(cross, F.lit(0.0), lambda s, x: s + x)) / 2).otherwise(0.0)
 
 
+def inside_edges(lat: Column, lng: Column, edges: Column) -> Column:
+    """Whether an odd number of edges (from a to b, of lat and lon) are to a point's east."""
+    east = lambda a, b: ((a["lat"] > lat) != (b["lat"] > lat)) & (lng < (b["lon"] - a["lon"]) * (lat - a["lat"]) / F.nullif(b["lat"] - a["lat"], F.lit(0.0)) + a["lon"])
+    return F.size(F.filter(edges, lambda e: east(e["a"], e["b"]))) % 2 == 1
+
+
 def inside_ring(lat: Column, lng: Column, ring: Column) -> Column:
     """Whether a point is inside a ring of (lat, lon): an odd number of edges to its east."""
     turned = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
-    crossed = F.zip_with(ring, turned, lambda a, b: ((a["lat"] > lat) != (b["lat"] > lat)) & (lng < (b["lon"] - a["lon"]) * (lat - a["lat"]) / F.nullif(b["lat"] - a["lat"], F.lit(0.0)) + a["lon"]))
-    return F.size(F.filter(crossed, lambda x: x)) % 2 == 1
+    return inside_edges(lat, lng, F.zip_with(ring, turned, lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
 
 
 def tile_x(lng: Column, zoom: int = 14) -> Column:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stages import kept
+from .skew import spread_join
+
 
 def fallback(df: DataFrame, out: str, steps: list[tuple[str, Column, int]]) -> DataFrame:
     """df with out, out_source and out_quality: the first step (name, value, quality) whose value isn't null."""
@@ -69,3 +74,77 @@ def priority_union(sources: list[DataFrame], keys: list[str], dedup: list[str],
 def redirected(df: DataFrame, renames: DataFrame, key: str) -> DataFrame:
     """Keys through a map (old, new); keys that aren't in it stay."""
     return df.join(renames, F.col(key) == F.col("old"), "left").withColumn(key, F.coalesce("new", key)).drop("old", "new")
+
+
+def chains(renames: DataFrame) -> DataFrame:
+    """old, new, hops, cycle: where each old key ends after all renames (old, new) in a row, in how many; a key that leads into a cycle has no end.
+
+    Each round joins the map with itself, so that ways are twice as long: as many rounds as the logarithm of the longest
+    chain. Of several renames of a key the greatest new key counts; a key renamed to itself isn't renamed; nulls are left
+    out. A new key that very many old ones have is dealt to several tasks.
+    """
+    once = renames.where("old is not null and new is not null").groupBy("old").agg(F.max("new").alias("new")).where("old <> new")
+    ways = kept(once.withColumn("hops", F.lit(1).cast("long")), "rename-ways")
+    total = ways.count()
+    for _ in range(math.ceil(math.log2(total + 1)) + 1 if total else 0):
+        on = ways.select(F.col("old").alias("new"), F.col("new").alias("_end"), F.col("hops").alias("_more"))
+        longer = spread_join(ways, on, ["new"], "left", total=total)
+        ways = kept(longer.select("old", F.coalesce("_end", "new").alias("new"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"), F.col("_end").isNotNull().alias("going")), "rename-ways")
+        if ways.where("going").isEmpty():
+            break
+        ways = ways.drop("going")
+    # what still goes on after so many rounds goes round
+    ends = ways.select(F.col("old").alias("new")).withColumn("cycle", F.lit(True))
+    told = spread_join(ways.drop("going"), ends, ["new"], "left", total=total).withColumn("cycle", F.coalesce("cycle", F.lit(False)))
+    return told.select("old", F.when(~F.col("cycle"), F.col("new")).alias("new"), F.when(~F.col("cycle"), F.col("hops")).alias("hops"), "cycle")
+
+
+def datamart(base: DataFrame, key: str, sides: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """base with the columns of many sides, each called side_column, and `found`, the names of the sides that have the key.
+
+    sides: per name a frame and its order columns; of several rows of a key the last in this order counts. All sides have
+    the same key, so base is dealt once for however many joins; sides that Spark knows, or sees on the way, to be below
+    spark.sql.autoBroadcastJoinThreshold are broadcast instead.
+    """
+    out, names = base, []
+    for name, (side, order) in sides.items():
+        w = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
+        last = side.where(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1") if order else side.where(F.col(key).isNotNull())
+        columns = [c for c in side.columns if c != key and c not in order]
+        out = out.join(last.select(key, *(F.col(c).alias(f"{name}_{c}") for c in columns), F.lit(name).alias(f"_{name}")), key, "left")
+        names.append(f"_{name}")
+    return out.withColumn("found", F.array_compact(F.array(*names))).drop(*names)
+
+
+def transliterated(names: DataFrame, name: str, dictionary: DataFrame, known: DataFrame | None = None, longest: int = 12) -> DataFrame:
+    """name and romaji for each distinct name: the one that known (name, romaji) has, else the readings of the longest dictionary entries (written, reading), from left to right.
+
+    A reading begins with a capital and goes on in small letters; readings, and runs of characters that no entry begins
+    with, are joined by hyphens, of which runs become one and those at the ends go. All stretches of a name up to `longest`
+    characters are looked up at once, by a join; the way from left to right is then chosen inside each name. Of several
+    readings of an entry, or of a name in known, the smallest counts. Entries longer than `longest` aren't found. An entry
+    that very many names have is dealt to several tasks.
+    """
+    distinct = names.select(F.col(name).alias("name")).where("name is not null").distinct()
+    done = known.where("romaji is not null").groupBy("name").agg(F.min("romaji").alias("romaji")) if known is not None else None
+    rows = kept(distinct.join(done, "name", "left") if done is not None else distinct.withColumn("romaji", F.lit(None).cast("string")), "names")
+    open_rows = rows.where(F.col("romaji").isNull()).select("name")
+    starts = open_rows.where(F.length("name") > 0).select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at"))
+    parts = starts.select("name", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("name") - F.col("at") + 1))).alias("size")).withColumn("written", F.expr("substring(name, at, size)"))
+    entries = dictionary.where("written is not null and written <> '' and reading is not null").groupBy("written").agg(F.min("reading").alias("reading"))
+    met = spread_join(kept(parts, "name-parts"), entries, ["written"])
+    best = met.groupBy("name", "at").agg(F.max(F.struct("size", "reading")).alias("m"))
+    ways = best.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("at", "m"))).alias("ways"))  # one a character of a name
+    first = F.struct(F.lit(1).alias("next"), F.lit("").alias("text"), F.lit(False).alias("plain"))
+
+    def step(s: Column, at: Column) -> Column:
+        hit = F.try_element_at("ways", at)
+        after = F.concat(s["text"], F.lit("-"), F.upper(F.substring(hit["reading"], 1, 1)), F.lower(F.substr(hit["reading"], F.lit(2))))
+        taken = F.struct((at + hit["size"]).alias("next"), after.alias("text"), F.lit(False).alias("plain"))
+        left = F.struct((at + 1).alias("next"), F.concat(s["text"], F.when(s["plain"], "").otherwise("-"), F.substr(F.col("name"), at, F.lit(1))).alias("text"), F.lit(True).alias("plain"))
+        return F.when(at < s["next"], s).when(hit.isNotNull(), taken).otherwise(left)
+
+    places = F.when(F.length("name") > 0, F.sequence(F.lit(1), F.length("name"))).otherwise(F.array().cast("array<int>"))
+    walked = F.trim(F.regexp_replace(F.aggregate(places, first, step)["text"], "-+", "-"), F.lit("-"))
+    made = open_rows.join(ways, "name", "left").withColumn("ways", F.coalesce("ways", F.expr("cast(map() as map<int, struct<size: int, reading: string>>)"))).select("name", walked.alias("romaji"))
+    return rows.where(F.col("romaji").isNotNull()).unionByName(made)

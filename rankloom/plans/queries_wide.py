@@ -191,7 +191,7 @@ def points_in_areas(spark: SparkSession, sf: str) -> DataFrame:
     y, x = F.col("r_lat") + 0.0013, F.col("r_lng") + 0.0017
     ring = F.array(*(F.struct(lat.alias("lat"), lon.alias("lon")) for lat, lon in ((y, x), (y, x + 0.3), (y + 0.3, x + 0.3))))
     areas = points(spark, sf).select("p", ring.alias("ring"))
-    return spatial.within_polygons(standins.places(spark, sf).select("k", "lat", "lng"), areas, "k", "p", wide=0.1)
+    return spatial.within_polygons(standins.places(spark, sf).select("k", "lat", "lng"), areas, "k", "p")
 
 
 @query("q_green_area", "with s as (select s_suppkey as k, 35.0::double + (s_suppkey % 50) * 0.01::double as y, 0.001::double * (1 + s_suppkey % 5) as h, 0.002::double * (1 + s_suppkey % 3) as w, s_suppkey % 2 = 0 as boxed from supplier) select k, floor(case when boxed then h * 111000 * (w * 111000 * cos(radians((y + h + y) / 2))) else abs(139.0 * 111000 * cos(radians(y)) * (y * 111000) - (139.0 + w) * 111000 * cos(radians(y)) * (y * 111000) + (139.0 + w) * 111000 * cos(radians(y)) * ((y + h) * 111000) - (139.0 + w) * 111000 * cos(radians(y + h)) * (y * 111000) + (139.0 + w) * 111000 * cos(radians(y + h)) * (y * 111000) - 139.0 * 111000 * cos(radians(y)) * ((y + h) * 111000)) / 2 end / 10 + 0.5)::bigint as area from s")
