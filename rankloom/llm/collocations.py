@@ -13,8 +13,8 @@ goes from one scan to the next as a Bloom filter of bounded size. A filter lets
 dropped once they are counted; it never hides a frequent one, so counts are whole.
 
 Defined results: a null text is empty; a null language is `und`, together with those that are called that; repeated rows
-count each; a text without words counts for nothing; an empty table gives no rows; other columns are ignored. A single text
-is one shard however long it is.
+count each; a text without words counts for nothing; an empty table gives no rows; other columns are ignored. Tasks
+get lines, so a text may be as long as it likes; a single line is one shard however long it is.
 """
 
 from __future__ import annotations
@@ -39,9 +39,11 @@ from .jaccard import mixed
 #: Bytes to bytes: A-Z in lower case, marks that end a piece to line feeds, tabs to spaces.
 MARKS = b".,;:!?\n\x0b\x0c\r"
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 10 if b in MARKS else 32 if b == 9 else b for b in range(256))
-#: Bytes of text in a shard, and how many are held at most while languages wait for theirs to be full.
-SHARD, HELD = 2 << 20, 6 << 20
+#: Bytes of lines in a shard, and how many are held at most while languages wait for theirs to be full.
+SHARD, HELD = 1 << 20, 4 << 20
 LONGEST = 4
+#: Rows that are handed on at once.
+AT_ONCE = 1 << 16
 
 
 def ordered(x: np.ndarray) -> np.ndarray:
@@ -119,19 +121,19 @@ def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
-    """A language, its distinct words, and ids (from 1, 0 at the end of each piece) for about SHARD bytes of its text."""
+    """A language, its distinct words, and ids (from 1, 0 at the end of each piece) for about SHARD bytes of its lines."""
     held: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
-    total = 0
     for b in batches:
-        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").view(pa.binary())):
-            folded = text.as_py().translate(FOLD)
+        coded, lines = b.column("lang").dictionary_encode(), b.column("line").view(pa.binary())
+        for k, lang in enumerate(coded.dictionary.to_pylist()):
+            own = lines.filter(pc.equal(coded.indices, k))
+            folded = pc.binary_join(pa.ListArray.from_arrays([0, len(own)], own), b"\n")[0].as_py().translate(FOLD)
             held.setdefault(lang, []).append(folded)
             size[lang] = size.get(lang, 0) + len(folded)
-            total += len(folded)
-            if size[lang] >= SHARD or total >= HELD:
+            while size and (max(size.values()) >= SHARD or sum(size.values()) >= HELD):
                 full = max(size, key=size.get)
-                total -= size.pop(full)
+                size.pop(full)
                 yield (full, *_ids(held.pop(full)))
                 pa.default_memory_pool().release_unused()
     for lang in list(held):
@@ -209,8 +211,9 @@ def _phrases(lang: str, names: pa.Array, ids: np.ndarray, longest: int) -> Itera
     for n in range(2, longest + 1):
         found.extend(left=n % 2 == 0)
         if n > 2 or longest == 2:
-            parts = [names.take(pa.array(found.words[:, k] - 1)) for k in range(n)]
-            yield counted_rows(lang, pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())), found.size)
+            for i in range(0, len(found.size), AT_ONCE):
+                parts = [names.take(pa.array(found.words[i : i + AT_ONCE, k] - 1)) for k in range(n)]
+                yield counted_rows(lang, pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())), found.size[i : i + AT_ONCE])
 
 
 def _summed(counts: DataFrame) -> DataFrame:
@@ -232,7 +235,8 @@ def filter_of(frequent: DataFrame, words: int) -> Broadcast:
 
 def frequent_phrases(docs: DataFrame, least: int, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """lang, phrase, f of all phrases of one to LONGEST words with `least` occurrences or more, and lang, n: all word occurrences."""
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # a line feed ends a piece, so lines are as good as texts, and a batch of them is small however long texts are
+    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("line"))
     often = F.col("f") >= least
     totals = written(word_counts(rows).withColumn("frequent", often).groupBy("lang", "frequent", F.when(often, F.col("phrase")).alias("phrase")).agg(F.sum("f").alias("f")), "collocation-words")
     words = totals.where("frequent").select("lang", "phrase", "f")
