@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_data, queries_more, queries_rating, queries_stores, queries_text, queries_wide
+from . import queries_data, queries_flow, queries_more, queries_rating, queries_stores, queries_text, queries_wide
 
-PARTS = (queries_rating, queries_data, queries_text, queries_more, queries_wide, queries_stores)
+PARTS = (queries_rating, queries_data, queries_text, queries_more, queries_wide, queries_stores, queries_flow)
 QUERIES: dict = {k: f for part in PARTS for k, f in part.QUERIES.items()}
 ORACLE_SQL: dict = {k: s for part in PARTS for k, s in part.SQL.items()}

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, joins, unique
 from ..sources import versions
-from ..sources.stages import shared_folder
+from ..sources.stages import fresh
 from ..sources.tables import table
 from .standins import EVENT_TYPES
 
@@ -27,10 +25,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def fresh(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-
-
 # --- choices that are given once ------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import json
+from dataclasses import asdict, dataclass, field, replace
 from urllib.parse import parse_qsl, urlencode
 
 CATEGORIES = ("transport", "rent", "daily_essentials", "safety", "food", "green", "gym_sports", "vibe", "nightlife", "crowd")
@@ -32,6 +33,10 @@ class QuerySpec:
     filters: Filters = Filters()
     selected: str | None = None
     compare: tuple[str, ...] = ()
+    heatmap: bool = False
+    dimension: str = "composite"
+    hide_flood: bool = False
+    hide_seismic: bool = False
 
     def with_weight(self, category: str, weight: float) -> QuerySpec:
         return replace(self, weights={**self.weights, category: weight})
@@ -45,6 +50,14 @@ class QuerySpec:
             return self
         return replace(self, compare=(*self.compare, key))
 
+    def without_compared(self, key: str) -> QuerySpec:
+        return replace(self, compare=tuple(k for k in self.compare if k != key))
+
+    def with_minimum(self, category: str, value: float | None) -> QuerySpec:
+        """A category's minimum, or none; one that is set anew keeps its place among the others."""
+        others = {k: v for k, v in self.filters.minimums.items() if k != category}
+        return self.with_filters(minimums=others if value is None else {**self.filters.minimums, category: value})
+
     def with_preset(self, name: str) -> QuerySpec:
         """The preset's weights; filters are reset before its own are set."""
         weights, changes = PRESETS[name]
@@ -55,7 +68,7 @@ class QuerySpec:
         filters = dict(part.get("filters", {}))
         if "minimums" in filters:
             filters["minimums"] = {**self.filters.minimums, **filters["minimums"]}
-        return replace(self, weights=part.get("weights", self.weights), filters=replace(self.filters, **filters), selected=part.get("selected", self.selected), compare=tuple(part.get("compare", self.compare))[:MAX_COMPARE])
+        return replace(self, weights=part.get("weights", self.weights), filters=replace(self.filters, **filters), selected=part.get("selected", self.selected), compare=tuple(part.get("compare", self.compare))[:MAX_COMPARE], heatmap=part.get("heatmap", self.heatmap), dimension=part.get("dimension", self.dimension))
 
 
 def _weights(**given: float) -> dict[str, float]:
@@ -91,6 +104,10 @@ def encode(spec: QuerySpec) -> str:
         out.append(("s", spec.selected))
     if spec.compare:
         out.append(("c", ",".join(spec.compare)))
+    if spec.heatmap:
+        out.append(("hm", "1"))
+    if spec.dimension != "composite":
+        out.append(("hd", spec.dimension))
     return urlencode(out)
 
 
@@ -129,9 +146,58 @@ def decode(query: str) -> dict:
         part["selected"] = given["s"]
     if given.get("c"):
         part["compare"] = [x for x in given["c"].split(",") if x]
+    if given.get("hm") == "1":
+        part["heatmap"] = True
+    if given.get("hd"):
+        part["dimension"] = given["hd"]
     return part
 
 
 def share_url(base: str, spec: QuerySpec) -> str:
     query = encode(spec)
     return f"{base}?{query}" if query else base
+
+
+def reduced(spec: QuerySpec, action: str, name: str | None = None, value: str | None = None) -> QuerySpec:
+    """The query after one action of a user; unknown actions, categories and limits, and values that aren't numbers where these are needed, change nothing."""
+    number = None if value is None else _float(value)
+    if action == "weight" and name in CATEGORIES and number is not None:
+        return spec.with_weight(name, number)
+    if action == "weights" and value and len(given := [_float(v) for v in value.split(",")]) == len(CATEGORIES) and None not in given:
+        return replace(spec, weights=dict(zip(CATEGORIES, given)))
+    if action == "reset_weights":
+        return replace(spec, weights=dict(DEFAULT_WEIGHTS))
+    if action == "filter" and name in ("min_rent", "max_rent", "min_commute", "max_commute") and number is not None:
+        return spec.with_filters(**{name: number})
+    if action == "minimum" and name in CATEGORIES and (value is None or number is not None):
+        return spec.with_minimum(name, number)
+    if action == "camera":
+        return spec.with_filters(camera=value == "true")
+    if action == "reset_filters":
+        return replace(spec, filters=Filters())
+    if action == "preset" and name in PRESETS:
+        return spec.with_preset(name)
+    if action == "select":
+        return replace(spec, selected=value or None)
+    if action == "compare" and value:
+        return spec.with_compared(value)
+    if action == "uncompare" and value:
+        return spec.without_compared(value)
+    if action == "clear_compare":
+        return replace(spec, compare=())
+    if action in ("heatmap", "hide_flood", "hide_seismic"):
+        return replace(spec, **{action: value == "true"})
+    if action == "dimension" and value:
+        return replace(spec, dimension=value)
+    if action == "hydrate":
+        return spec.hydrated(decode(value or ""))
+    return spec
+
+
+def dumped(spec: QuerySpec) -> str:
+    return json.dumps(asdict(spec))
+
+
+def loaded(text: str) -> QuerySpec:
+    given = json.loads(text)
+    return QuerySpec(**{**given, "filters": Filters(**given["filters"]), "compare": tuple(given["compare"])})
