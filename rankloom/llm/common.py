@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -44,10 +45,12 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that's unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir; a temporary one where that's unset and all tasks run in this process, as in tests. On a cluster it has to be set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         sc = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir isn't set: the tables between steps need a folder that the driver and all executors share")
         found = sc._rankloom_dir = getattr(sc, "_rankloom_dir", None) or tempfile.mkdtemp(prefix="rankloom-")
     return found.rstrip("/")
 
