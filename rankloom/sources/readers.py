@@ -88,7 +88,7 @@ def decoded(lines: DataFrame) -> DataFrame:
 
 
 def csv_cells(line: Column) -> Column:
-    """A line's cells, trimmed; quoted ones may have commas, and quotes in pairs."""
+    """A line's cells, trimmed; quoted ones may have commas, and quotes in pairs; a quote that nothing closes is a character like others."""
     cells = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
     quoted = lambda c: F.replace(F.regexp_extract(c, '(?s)^\\s*"(.*)"\\s*$', 1), F.lit('""'), F.lit('"'))
     return F.transform(cells, lambda c: F.trim(F.when(c.rlike('(?s)^\\s*".*"\\s*$'), quoted(c)).otherwise(c)))
