@@ -26,6 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import spread_join
 from .common import discard, let, matched, written
 
 #: Kinds in their fixed order with their patterns.
@@ -146,7 +147,9 @@ def disclosing_terms(base: DataFrame, docs: DataFrame, text_col: str, chance: fl
     surprise = further * (p * F.log(p / q) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - q))).otherwise(0.0))
     unlikely = F.when((shown >= 2) & (q < 1), (p > q) & (surprise >= math.log(max(n_pairs, 1) / chance))).otherwise(False)
     own = F.col("named") & (F.col("n_both") == F.col("n_term"))
-    found = pairs.join(counted, "term").join(entities, "entity").where((information > 0) & (unlikely | own)).select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    # a common word is near very many entities, and an entity may have very many terms
+    known = spread_join(spread_join(pairs, counted, ["term"], total=n_pairs), entities, ["entity"], total=n_pairs)
+    found = known.where((information > 0) & (unlikely | own)).select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
     disclosing = written(found.withColumn("action", F.when(F.col("share") >= remove, "removed").otherwise("generalised")), "pii-disclosing")
     discard(near, counted, pairs)
     return disclosing
@@ -159,6 +162,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chance
     base = written(rows.select("doc_id", "text_mark", base_spans(F.col("text")).alias("base")), "pii-base")
     some = base.where(F.size("base") > 0)
     terms = disclosing_terms(some, rows, "text", chance, generalise, remove)
+    slim = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(None).cast("string").alias("action")))
+    none = F.expr("cast(array() as array<struct<kind: string, start: int, end: int, value: string, action: string>>)")
+    if terms.isEmpty():
+        return base.select("doc_id", "text_mark", slim.alias("base"), none.alias("added"))
     holders = written(some.select("doc_id", "text_mark", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")), "pii-holders")
     of_entity = terms.join(holders.groupBy("entity").agg(F.count("*").alias("n")), "entity").groupBy("entity").agg(F.first("n").alias("n"), F.collect_list(F.struct("term", "action")).alias("terms"))
     shared = matched(holders, of_entity, "entity", "n", holders.count()).select("doc_id", "text_mark", F.explode("of.terms").alias("t"))
@@ -171,9 +178,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chance
     hit = lambda s: let(F.lower(s["value"]), lambda w: F.filter("wanted", lambda x: x["term"] == w))
     words = F.transform(matches(F.col("text"), TERM, "term"), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.get(hit(s), 0)["action"].alias("action")))
     added = placed.select("_id", "_mark", F.filter(words, lambda s: s["action"].isNotNull() & outside(s)).alias("added")).dropDuplicates(["_id", "_mark"])
-    slim = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(None).cast("string").alias("action")))
     out = base.join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_mark") == F.col("_mark")), "left")
-    none = F.expr("cast(array() as array<struct<kind: string, start: int, end: int, value: string, action: string>>)")
     return out.select("doc_id", "text_mark", slim.alias("base"), F.coalesce("added", none).alias("added"))
 
 
