@@ -65,10 +65,13 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     ).select("doc_id", "size", "text_crc32", jump_shard(F.col("key"), shards).alias("shard"), jump_shard(F.col("key"), shards + 1).alias("grown_shard"), F.pmod(F.xxhash64("key", "text_crc32"), F.lit(CHUNKS)).cast("int").alias("chunk"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("shard", "chunk").agg(F.count("*").alias("n")).select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("shard", "chunk").orderBy("doc_id", "size", "text_crc32")
+    # copies of a row are counted and take so many slots, as all are in one chunk
+    each = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    within = Window.partitionBy("shard", "chunk").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     # offsets has shards * CHUNKS rows at most, whatever the input's size
-    placed = rows.withColumn("at", F.row_number().over(within) - 1).join(F.broadcast(offsets), ["shard", "chunk"])
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("at")).cast("long").alias("slot"), "grown_shard")
+    placed = each.withColumn("at", F.coalesce(F.sum("copies").over(within), F.lit(0))).join(F.broadcast(offsets), ["shard", "chunk"])
+    first = F.col("offset") + F.col("at")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence(first, first + F.col("copies") - 1)).alias("slot"), "grown_shard")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id") -> None:
