@@ -64,19 +64,15 @@ def catch_up(spark: SparkSession, path: str, at: str, id_col: str = "doc_id", te
     """Runs both streams over the files of the parquet table at path that the folder `at` hasn't seen; all hashed rows, and the state by digest."""
     schema = spark.read.parquet(path).select(id_col, text_col).schema
     log, changes = f"{at}/rows", f"{at}/changes"
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    for k, v in STATE.items():
-        spark.conf.set(k, v)
-    try:
-        stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(pattern_of(path))
-        rows = hashed(stream, id_col, text_col)
-        rows.writeStream.format("parquet").option("path", log).option("checkpointLocation", f"{at}/rows-log").trigger(availableNow=True).start().awaitTermination()
-        keep = lambda changed, batch: changed.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{changes}/run={batch}")
-        narrow = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", batch_bytes).parquet(log)
-        track(narrow).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state-log").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    own = spark.newSession()  # the streams' own session, so that the caller's settings stay as they are
+    for k, v in {**STATE, "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}.items():
+        own.conf.set(k, v)
+    stream = own.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(pattern_of(path))
+    rows = hashed(stream, id_col, text_col)
+    rows.writeStream.format("parquet").option("path", log).option("checkpointLocation", f"{at}/rows-log").trigger(availableNow=True).start().awaitTermination()
+    keep = lambda changed, batch: changed.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{changes}/run={batch}")
+    narrow = own.readStream.schema(rows.schema).option("maxBytesPerTrigger", batch_bytes).parquet(log)
+    track(narrow).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state-log").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     row = f"struct<chars: int, neg_id: {rows.schema['doc_id'].dataType.simpleString()}, file: string, row: bigint>"
     changed = spark.read.schema(f"digest binary, keeper {row}, group_size bigint, batch bigint").option("recursiveFileLookup", "true").parquet(changes)
     state = changed.groupBy("digest").agg(F.max_by(F.struct("keeper", "group_size"), "batch").alias("s")).select("digest", "s.keeper", "s.group_size")
