@@ -191,7 +191,7 @@ def seismic_hint(tier: Column) -> Column:
 
 
 def marker(score: Column, rent_unknown: Column, selected: Column, hovered: Column, compared: Column, grown: float = 1.4) -> dict[str, Column]:
-    """How a place is drawn: radius, stroke, weight and opacities."""
+    """How a place is drawn: radius, stroke, weight and opacities. All of these."""
     lit_up, unknown = selected | hovered, F.coalesce(rent_unknown, F.lit(False))
     base = F.when(score.isNotNull(), 6 + score * 0.5).otherwise(5.0)
     return {

@@ -226,6 +226,7 @@ def scatter_scored(spark: SparkSession, sf: str) -> DataFrame:
 MARKED_SQL = "k % 41 = 0 as selected, k % 37 = 0 as hovered, k % 29 = 0 as compared, rent_1k is null as unknown"
 
 
+#: Fixed values in the SQL: colours, sizes and opacities, as in functions/rating.py.
 @query("q_marker_style", f"""with {RATINGS_SQL}, s as (select k, {score_sql(DEFAULT_WEIGHTS)} as score, {MARKED_SQL} from ratings)
     select k, floor((6 + score * 0.5) * (case when selected or hovered then 1.4 else 1 end) * 1e6 + 0.5) / 1e6 as radius, case when selected then '#1d4ed8' when hovered then '#2563eb' when compared then '#7c3aed' else '#374151' end as stroke,
     case when selected then 3.5 when hovered then 2.5 when compared then 3 when unknown then 0.5 else 1 end::double as weight, case when unknown and not (selected or hovered or compared) then 0.3 else 0.9 end::double as opacity, case when selected or hovered then 1 when unknown then 0.35 else 0.85 end::double as fill_opacity from s""")
@@ -245,6 +246,7 @@ def _bands_sql(steps: list[tuple[float, str]], beyond: str) -> str:
     return "case " + " ".join(f"when km < {limit} then {v}" for limit, v in steps) + f" else {beyond} end"
 
 
+#: The bands, as in functions/rating.py.
 HEURISTIC_SQL = {
     "transport": "case when lines >= 5 then 9 when lines >= 3 then 7 when lines >= 2 then 6 else 4 end",
     "food": _bands_sql([(5, "7 + least(lines, 3)"), (10, "5 + least(lines, 2)"), (20, "4 + least(lines, 1)")], "3"),

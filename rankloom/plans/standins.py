@@ -116,6 +116,7 @@ def _ln(x: str) -> str:
     return f"ln(1.0::double + coalesce({x}, 0))"
 
 
+#: Fixed values in the SQL from here on: weights and limits of the rating formulas, as in functions/rating.py.
 SIGNALS_SQL = f"""{PLACES_SQL},
 signals as (select *,
     {_snap(f"{_ln('view')} * 0.6::double + {_ln('purchase')} * 0.4::double")} as s_food,
