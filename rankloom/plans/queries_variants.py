@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import variants
+from ..operators import variants
 from ..sources.tables import table
 from ..streaming import incremental
 from . import standins

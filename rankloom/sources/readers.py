@@ -23,9 +23,9 @@ def json_folder(spark: SparkSession, path: str, schema: str, key: str = "slug")
     return rows.select(F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias(key), "*").withColumn("broken", F.col("_corrupt").isNotNull()).drop("_corrupt")
 
 
-def csv_rows(spark: SparkSession, path: str, schema: str, needed: list[str]) -> DataFrame:
+def csv_rows(spark: SparkSession, path: str, schema: str, needed: list[str], escape: str = "\\") -> DataFrame:
     """CSV with a header; rows that don't fit the schema or lack a needed value are left out."""
-    return spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").csv(path).dropna(subset=needed)
+    return spark.read.schema(schema).option("header", True).option("escape", escape).option("mode", "DROPMALFORMED").csv(path).dropna(subset=needed)
 
 
 def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
