@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches
+from .common import in_batches, written
 from .quality import labelled
 
 #: Words of the second person in the four languages of the table.
@@ -172,6 +172,7 @@ class Model:
         spark = docs.sparkSession
         part = F.pmod(F.xxhash64(F.lit(3), F.col("_id")), F.lit(10))  # 0-4 lexicon, 5-7 trees, 8-9 calibration
         rows = labelled(docs, labels, label_col, max_rows, id_col, text_col).select("text", "label", F.when(part < 5, 0).when(part < 8, 1).otherwise(2).alias("part"))
+        rows = written(rows, "toxicity-rows")  # max_rows at most; read for the counts, the terms and the features
         self.lexicon = spark.sparkContext.broadcast(self.learn_lexicon(rows.where("part = 0"), max_terms))
 
         def run(batches: Iterator[pd.DataFrame], lexicon=self.lexicon) -> Iterator[pd.DataFrame]:
