@@ -650,7 +650,7 @@ def test_queries_are_their_sql(spark, name):
     import duckdb
 
     sf, c = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels"):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df, found = registry.QUERIES[name](spark, sf), c.execute(registry.ORACLE_SQL[name])
     columns = [d[0] for d in found.description]
