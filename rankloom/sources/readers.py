@@ -37,13 +37,13 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
     return None
 
 
-def positional_cells(lines: DataFrame, line: str, low: float = 10_000, high: float = 500_000) -> DataFrame:
-    """Rows of unknown layout: the first cell of five digits is the code, the next one the name, numbers between low and high after it the prices."""
+def positional_cells(lines: DataFrame, line: str, low: float = 10_000, high: float | Column = 500_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of unknown layout: the first cell of five digits is the code, the next one the name, numbers between low and high after it the prices. Codes may repeat; `keep` are columns that go along."""
     cells = F.transform(F.split(line, ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
     at = F.array_position(F.transform("cells", lambda c: c.rlike(r"^[0-9]{5}$")), True)
     prices = F.filter(F.transform(F.slice("cells", F.col("at") + 2, F.size("cells")), lambda c: F.regexp_replace(c, "[^0-9.]", "").try_cast("double")), lambda p: p.between(low, high))
     coded = lines.withColumn("cells", cells).withColumn("at", at.cast("int")).where("at > 0")
-    return coded.select(F.get("cells", F.col("at") - 1).alias("code"), F.get("cells", F.col("at")).alias("name"), prices.alias("prices"))
+    return coded.select(*keep, F.get("cells", F.col("at") - 1).alias("code"), F.get("cells", F.col("at")).alias("name"), prices.alias("prices"))
 
 
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Operators where few places, names or keys hold most rows, and where little goes in and much comes out."""
 
+import duckdb
 from pyspark.sql import functions as F
 
-from rankloom.operators import skew, spatial
+from rankloom.operators import joins, skew, spatial
+from rankloom.plans import catalogue
+from rankloom.sources import readers
 
 
 def tasks(df):
@@ -26,3 +29,30 @@ def test_count_near_has_no_pairs_of_rows(spark, monkeypatch):
     got = spatial.count_near(left, right, 1.0, odd=F.col("p") % 2 == 1)
     assert {(r["id"], r["odd"]) for r in got.collect()} == {(i, 250 if i % 2 == 0 and i else 0) for i in range(1_000)}
     assert [s.count() for s in seen] == [1]
+
+
+def test_codes_of_cells_may_repeat(spark):
+    lines = spark.createDataFrame([(1, "x,10001,a,60000"), (90_001, "x,10001,b,140001,700000")], "k long, line string")
+    got = readers.positional_cells(lines, "line", high=F.greatest(F.lit(500_000), F.col("k") * 10), keep=("k",))
+    assert sorted(map(tuple, got.collect())) == [(1, "10001", "a", [60_000.0]), (90_001, "10001", "b", [140_001.0, 700_000.0])]
+
+
+def test_positional_query_where_codes_repeat(spark, tmp_path):
+    rows = [(k, f"name {k}", k % 50 + 1) for k in (1, 7, 90_001, 180_001, 600_001)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    df = catalogue.QUERIES["q_positional_cells"](spark, str(tmp_path))
+    rel = duck.execute(catalogue.ORACLE_SQL["q_positional_cells"])
+    names = [d[0] for d in rel.description]
+    assert sorted(map(tuple, df.select(*names).collect())) == sorted(rel.fetchall())
+
+
+def test_chains_that_end_are_left_alone(spark, monkeypatch):
+    """A pair of keys that go round doesn't make all others go on."""
+    rounds, join = [], joins.spread_join
+    monkeypatch.setattr(joins, "spread_join", lambda left, *a, **k: rounds.append(left.count()) or join(left, *a, **k))
+    edges = [(i, i + 1) for i in range(200) if i % 10 < 3] + [(1_000, 1_001), (1_001, 1_000), (1_002, 1_001)]
+    got = {r["old"]: (r["new"], r["hops"], r["cycle"]) for r in joins.chains(spark.createDataFrame(edges, "old long, new long")).collect()}
+    want = {i: (i - i % 10 + 3, 3 - i % 10, False) for i in range(200) if i % 10 < 3} | {i: (None, None, True) for i in (1_000, 1_001, 1_002)}
+    assert got == want and len(rounds) <= 4 and rounds[-1] < rounds[0]
