@@ -79,24 +79,26 @@ def redirected(df: DataFrame, renames: DataFrame, key: str) -> DataFrame:
 def chains(renames: DataFrame) -> DataFrame:
     """old, new, hops, cycle: where each old key ends after all renames (old, new) in a row, in how many; a key that leads into a cycle has no end.
 
-    Each round joins the map with itself, so that ways are twice as long: as many rounds as the logarithm of the longest
-    chain. Of several renames of a key the greatest new key counts; a key renamed to itself isn't renamed; nulls are left
+    Each round joins what still goes on with the map, so that ways are twice as long: as many rounds as the logarithm of
+    the longest chain, unless keys go round in ways of which no round sees the end. Of several renames of a key the greatest new key counts; a key renamed to itself isn't renamed; nulls are left
     out. A new key that very many old ones have is dealt to several tasks.
     """
     once = renames.where("old is not null and new is not null").groupBy("old").agg(F.max("new").alias("new")).where("old <> new")
-    ways = kept(once.withColumn("hops", F.lit(1).cast("long")), "rename-ways")
-    total = ways.count()
+    ways = kept(once.select("old", "new", F.lit(1).cast("long").alias("hops"), F.lit(False).alias("cycle"), F.lit(True).alias("going")), "rename-ways")
+    total = going = ways.count()
     for _ in range(math.ceil(math.log2(total + 1)) + 1 if total else 0):
-        on = ways.select(F.col("old").alias("new"), F.col("new").alias("_end"), F.col("hops").alias("_more"))
-        longer = spread_join(ways, on, ["new"], "left", total=total)
-        ways = kept(longer.select("old", F.coalesce("_end", "new").alias("new"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"), F.col("_end").isNotNull().alias("going")), "rename-ways")
-        if ways.where("going").isEmpty():
+        on = ways.select(F.col("old").alias("new"), F.col("new").alias("_end"), F.col("hops").alias("_more"), F.col("cycle").alias("_cycle"))
+        longer = spread_join(ways.where("going"), on, ["new"], "left", total=going)
+        end = F.coalesce("_end", "new")
+        round_ = F.coalesce("_cycle", F.lit(False)) | (end == F.col("old"))  # it leads to a key that goes round, or back to itself
+        stepped = longer.select("old", end.alias("new"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"), round_.alias("cycle"), (F.col("_end").isNotNull() & ~round_).alias("going"))
+        ways = kept(ways.where("not going").unionByName(stepped), "rename-ways")
+        going = ways.where("going").count()
+        if not going:
             break
-        ways = ways.drop("going")
     # what still goes on after so many rounds goes round
-    ends = ways.select(F.col("old").alias("new")).withColumn("cycle", F.lit(True))
-    told = spread_join(ways.drop("going"), ends, ["new"], "left", total=total).withColumn("cycle", F.coalesce("cycle", F.lit(False)))
-    return told.select("old", F.when(~F.col("cycle"), F.col("new")).alias("new"), F.when(~F.col("cycle"), F.col("hops")).alias("hops"), "cycle")
+    ends = ways.withColumn("cycle", F.col("cycle") | F.col("going"))
+    return ends.select("old", F.when(~F.col("cycle"), F.col("new")).alias("new"), F.when(~F.col("cycle"), F.col("hops")).alias("hops"), "cycle")
 
 
 def datamart(base: DataFrame, key: str, sides: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
