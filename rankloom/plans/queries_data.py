@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..functions.rounding import places as to_places
 from ..functions.rounding import tenth
 from ..operators import graph, joins, normalize, ranking, spatial
+from ..sources.stages import kept
 from ..sources.tables import table
 from . import standins
 from .standins import PLACES_SQL, km_sql
@@ -133,19 +134,22 @@ CASCADE_SQL = """with p as (select p_partkey as k, p_name as name, split_part(p_
 def cascade_match(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
     word = lambda i: F.get(F.split("p_name", " "), F.lit(i))
-    p = part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), word(1).alias("ward"))
+    # names are matched once each, and in tasks of so many that their pieces stay few
+    names = kept(part.select(F.col("p_name").alias("name"), word(1).alias("ward")).distinct(), "names")
+    p = names.repartition(max(names.count() // 50_000, int(spark.conf.get("spark.sql.shuffle.partitions"))), "name")
     area = lambda test, name, add: part.where(test).groupBy(name.alias("area_name")).agg((F.min("p_partkey") + add).alias("code"))
     areas = area("p_size <= 7", F.col("p_name"), 0).unionByName(area("p_size between 8 and 11", word(1), 1_000_000)).unionByName(area("p_size > 45", F.left("p_name", F.lit(3)), 2_000_000))
-    exact = p.join(areas, F.col("name") == F.col("area_name")).select("k", "code")
-    ward = p.join(areas, F.col("ward") == F.col("area_name")).select("k", "code")
+    exact = p.join(areas, F.col("name") == F.col("area_name")).select("name", "code")
+    ward = p.join(areas, F.col("ward") == F.col("area_name")).select("name", "code")
     # containment without a product of the tables: the stretches of a name that are as long as some area's, then an equi-join
     lengths = areas.where(F.length("area_name") >= 2).agg(F.collect_set(F.length("area_name")).alias("lengths"))  # one row
-    sized = p.select("k", "name").crossJoin(F.broadcast(lengths)).select("k", "name", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("name"))
-    pieces = sized.select("k", F.explode(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("n") + 1), lambda i: F.substring("name", i, F.col("n")))).alias("area_name")).distinct()
-    within = pieces.join(areas, "area_name").select("k", "code")
+    sized = p.select("name").crossJoin(F.broadcast(lengths)).select("name", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("name"))
+    pieces = sized.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("n") + 1), lambda i: F.substring("name", i, F.col("n")))).alias("area_name")).distinct()
+    within = pieces.join(areas, "area_name").select("name", "code")
     # orders are text that sorts like the number
     up, down = F.lpad(F.col("code").cast("string"), 12, "0"), F.lpad((10**11 - F.col("code")).cast("string"), 12, "0")
-    return joins.cascade(p.select("k"), "k", [(exact, up), (ward, down), (within, up)], ["code"]).select("k", "code", "tier")
+    best = joins.cascade(p.select("name"), "name", [(exact, up), (ward, down), (within, up)], ["code"])
+    return part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name")).join(best, "name", "left").select("k", "code", "tier")
 
 
 @query("q_overlay_merge", "select doc_id, quality::int as value, 'own' as origin from labels union all select doc_id, 1, 'filled' from documents where doc_id not in (select doc_id from labels)")

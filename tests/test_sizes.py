@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from rankloom.operators import joins, skew, spatial
+from rankloom.operators import graph, joins, skew, spatial
 from rankloom.plans import catalogue
 from rankloom.sources import readers
 
@@ -56,3 +56,30 @@ def test_chains_that_end_are_left_alone(spark, monkeypatch):
     got = {r["old"]: (r["new"], r["hops"], r["cycle"]) for r in joins.chains(spark.createDataFrame(edges, "old long, new long")).collect()}
     want = {i: (i - i % 10 + 3, 3 - i % 10, False) for i in range(200) if i % 10 < 3} | {i: (None, None, True) for i in (1_000, 1_001, 1_002)}
     assert got == want and len(rounds) <= 4 and rounds[-1] < rounds[0]
+
+
+def test_cascade_matches_each_name_once(spark, tmp_path, monkeypatch):
+    rows = [(k, f"{'abcdefg'[k % 7]}ab {'xyz'[k % 3]}yz tail", k % 50 + 1) for k in range(1, 400)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    seen, cascade = [], joins.cascade
+    monkeypatch.setattr(joins, "cascade", lambda left, *a: seen.append(left.count()) or cascade(left, *a))
+    duck = duckdb.connect()
+    duck.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    df = catalogue.QUERIES["q_cascade_match"](spark, str(tmp_path))
+    rel = duck.execute(catalogue.ORACLE_SQL["q_cascade_match"])
+    names = [d[0] for d in rel.description]
+    assert sorted(map(tuple, df.select(*names).collect())) == sorted(rel.fetchall())
+    assert seen == [21]
+
+
+def test_adjacency_has_tasks_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_PAIRS", 100, raising=False)
+    seen, join = [], graph.spread_join
+    monkeypatch.setattr(graph, "spread_join", lambda *a, **k: seen.append(join(*a, **k)) or seen[-1])
+    members = spark.createDataFrame([(p, (p * 7 + i * 3) % 40) for p in range(60) for i in range(8)], "place long, line long")
+    got = {tuple(r) for r in graph.adjacency(members, "place", "line").collect()}
+    on = {}
+    for p in range(60):
+        on[p] = {(p * 7 + i * 3) % 40 for i in range(8)}
+    assert got == {(a, b) for s in on.values() for a in s for b in s if a != b}
+    assert tasks(seen[0]) > 4
