@@ -14,7 +14,8 @@ def adjacency(members: DataFrame, place: str, line: str) -> DataFrame:
     sets = members.select(place, line).distinct().groupBy(place).agg(F.sum(F.xxhash64(line).cast("decimal(20)")).alias("_a"), F.bit_xor(F.xxhash64(F.struct(line))).alias("_b"), F.count("*").alias("_n"))
     first = sets.where("_n > 1").groupBy("_a", "_b", "_n").agg(F.min(place).alias(place))
     rows = kept(members.select(place, F.col(line).alias("line_a")).distinct().join(first.select(place), place), "adjacent-members")
-    return spread_join(rows, rows.withColumnRenamed("line_a", "line_b"), [place]).where("line_a <> line_b").select("line_a", "line_b").distinct()
+    one = F.lit(1)
+    return spread_join(rows, rows.withColumnRenamed("line_a", "line_b"), [place], sizes=(one, one)).where("line_a <> line_b").select("line_a", "line_b").distinct()
 
 
 def transfers(members: DataFrame, hubs: DataFrame, place: str, line: str) -> DataFrame:
