@@ -9,6 +9,7 @@ They need the RocksDB state store.
 from __future__ import annotations
 
 import sys
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,16 +38,32 @@ class Bursts(StatefulProcessor):
         at, n, timer, value = self.open.get() if self.open.exists() else (None, 0, None, None)
         if timer is not None:
             self.handle.deleteTimer(timer)
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["t", "tie"]).itertuples():
+        out, held = [], self.opened(value)
+        for r in self.ordered(rows):
             if at is not None and r.t - at >= self.gap_us:
-                out.append((key[0], n, at, value))
+                out.append((key[0], n, at, held))
                 n = 0
-            at, n, value = r.t if at is None else max(at, r.t), n + 1, self.folded(value if n or self.lasting else None, r)
+            at, n, held = r.t if at is None else max(at, r.t), n + 1, self.folded(held if n or self.lasting else None, r)
         timer = -(-(at + self.gap_us) // 1000)
         self.handle.registerTimer(timer)
-        self.open.update((at, n, timer, value))
-        yield self.frame(out)
+        self.open.update((at, n, timer, self.closed(held)))
+        if out:
+            yield self.frame(out)
+
+    def ordered(self, rows: Iterator[pd.DataFrame]) -> list[tuple]:
+        """A key's rows by time and tie, as tuples: most keys have few, for which frames of their own would cost more than all else."""
+        found = []
+        for part in rows:
+            row = namedtuple("Row", part.columns)
+            found += map(row._make, zip(*(part[c].tolist() for c in part.columns)))
+        return sorted(found, key=lambda r: (r.t, none := r.tie is None or r.tie != r.tie, 0 if none else r.tie))  # those without a tie last
+
+    def opened(self, value: str | None):
+        """What rows are folded into, of a state's text."""
+        return value
+
+    def closed(self, held) -> str | None:
+        return held
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at, n, timer, value = self.open.get()
@@ -54,12 +71,12 @@ class Bursts(StatefulProcessor):
             self.open.update((None, 0, None, value))
         else:
             self.open.clear()
-        yield self.frame([(key[0], n, at, value)])
+        yield self.frame([(key[0], n, at, self.opened(value))])
 
     #: Whether a burst begins with the value that the one before left.
     lasting = False
 
-    def folded(self, value: str | None, row) -> str | None:
+    def folded(self, value, row):
         return row.value
 
     def frame(self, out: list[tuple]) -> pd.DataFrame:
@@ -78,11 +95,17 @@ class QueryStates(Bursts):
         super().__init__(gap_us)
         self.base = base
 
-    def folded(self, value: str | None, row) -> str:
-        return spec.dumped(spec.reduced(spec.loaded(value) if value else spec.QuerySpec(), row.action, row.name, row.value))
+    def folded(self, value: spec.QuerySpec | None, row) -> spec.QuerySpec:
+        return spec.reduced(value or spec.QuerySpec(), row.action, row.name, row.value)
+
+    def opened(self, value: str | None) -> spec.QuerySpec | None:
+        return spec.loaded(value) if value else None
+
+    def closed(self, held: spec.QuerySpec | None) -> str | None:
+        return spec.dumped(held) if held else None
 
     def frame(self, out: list[tuple]) -> pd.DataFrame:
-        return super().frame([(k, n, at, spec.share_url(self.base, spec.loaded(v))) for k, n, at, v in out])
+        return super().frame([(k, n, at, spec.share_url(self.base, v)) for k, n, at, v in out])
 
 
 def _stream(rows: DataFrame, key: str, time: str, tie: str, more: list, processor: StatefulProcessor, delay: str) -> DataFrame:
