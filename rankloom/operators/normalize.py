@@ -39,24 +39,44 @@ def _rated(share_low: Column, invert: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(10), half_even(share * 9 + 1))).cast("int")
 
 
+def levels(rated: DataFrame, names: list[str]) -> DataFrame:
+    """One row with an array for each name: the smallest value of each rating that occurs, with the rating. rated has name, v and rating.
+
+    A greater value never has a smaller share, after rounding as well, so that a rating's values are a range: these, ten at
+    most for each name, say all that the table of distinct values says.
+    """
+    lows = rated.groupBy("name", "rating").agg(F.min("v").alias("low"))
+    return lows.agg(*(F.collect_list(F.when(F.col("name") == n, F.struct("low", "rating"))).alias(f"_levels_{n}") for n in names))
+
+
+def level(name: str, value: Column) -> Column:
+    """The rating that levels has for a value; null for null, and for one below all."""
+    return F.array_max(F.filter(f"_levels_{name}", lambda s: s["low"] <= value))["rating"]
+
+
+def _rated_rows(rows: DataFrame, values: dict[str, tuple[Column, bool]]) -> DataFrame:
+    """rows, a table, with a rating for each name, of (value, whether low is good).
+
+    Rows aren't joined with the distinct values, of which one may be on most rows, and there may be as many as rows: they
+    are looked up in the ratings' ranges, which all tasks get.
+    """
+    names = list(values)
+    entries = F.array(*(F.struct(F.lit(n).alias("name"), v.alias("v")) for n, (v, _) in values.items()))
+    share = (F.col("before") + (F.col("n") - 1) / 2.0) / F.greatest(F.col("total") - 1, F.lit(1))
+    inverted = F.col("name").isin([n for n, (_, low) in values.items() if low])
+    ranked = counted(rows.select(F.explode(entries).alias("e")).select("e.name", "e.v"), "v", ["name"])
+    sent = levels(ranked.select("name", "v", _rated(share, inverted).alias("rating")), names)
+    return rows.crossJoin(F.broadcast(sent)).select(*rows.columns, *(level(n, v).alias(n) for n, (v, _) in values.items()))  # with one row
+
+
 def percentile_rating(df: DataFrame, value: str, out: str, invert: bool = False) -> DataFrame:
     """df with out: 1 to 10 by the middle rank of a value's ties; null for null. df is computed once."""
-    rows = kept(df, "rated-rows")
-    share = (F.col("before") + (F.col("n") - 1) / 2.0) / F.greatest(F.col("total") - 1, F.lit(1))
-    rated = counted(rows, value).select(F.col("v").alias("_v"), _rated(share, F.lit(invert)).alias(out))
-    return rows.join(rated, F.col(value) == F.col("_v"), "left").drop("_v")
+    return _rated_rows(kept(df, "rated-rows"), {out: (F.col(value), invert)})
 
 
 def percentile_ratings(df: DataFrame, key: str, of: dict[str, tuple[str, bool]]) -> DataFrame:
-    """df with a rating for each name, of (value column, whether low is good), all in one pass: values in long form, counted and ranked per name and range. df is computed once."""
-    names, rows = list(of), kept(df, "rated-rows")
-    entries = F.array(*(F.struct(F.lit(n).alias("name"), F.col(of[n][0]).cast("double").alias("v")) for n in names))
-    long = rows.select(key, F.explode(entries).alias("e")).select(key, "e.name", "e.v").where("v is not null")
-    share = (F.col("before") + (F.col("n") - 1) / 2.0) / F.greatest(F.col("total") - 1, F.lit(1))
-    inverted = F.col("name").isin([n for n in names if of[n][1]])
-    rated = counted(long, "v", ["name"]).select("name", "v", _rated(share, inverted).alias("rating"))
-    wide = long.join(rated, ["name", "v"]).groupBy(key).agg(*(F.max(F.when(F.col("name") == n, F.col("rating"))).alias(n) for n in names))
-    return rows.join(wide, key, "left")
+    """df, whose rows have the key, with a rating for each name, of (value column, whether low is good), all in one pass: values in long form, counted and ranked per name and range. df is computed once."""
+    return _rated_rows(kept(df, "rated-rows"), {n: (F.col(c).cast("double"), invert) for n, (c, invert) in of.items()})
 
 
 def at_share(df: DataFrame, value: str, shares: dict[str, float], empty: dict[str, float]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rating import known
 from ..functions.rounding import half_even
 from ..sources.stages import kept
-from .normalize import counted
+from .normalize import counted, level, levels
 
 #: How much a crime of each kind counts.
 CRIME_WEIGHTS = {
@@ -90,8 +90,9 @@ def bucketed(df: DataFrame, score: str, out: str) -> DataFrame:
     rating = F.lit(NIGHTLIFE_BUCKETS[0][1])
     for limit, value in NIGHTLIFE_BUCKETS[1:]:
         rating = F.when(share >= limit, value).otherwise(rating)
-    rated = counted(rows.where(F.col(score) > 0), score).select(F.col("v").alias("_v"), rating.alias(out))
-    return rows.join(rated, F.col(score) == F.col("_v"), "left").withColumn(out, F.coalesce(out, F.lit(1))).drop("_v")
+    rated = counted(rows.where(F.col(score) > 0), score).select(F.lit("score").alias("name"), "v", rating.alias("rating"))
+    found = F.coalesce(level("score", F.col(score)), F.lit(1))
+    return rows.crossJoin(F.broadcast(levels(rated, ["score"]))).withColumn(out, found).drop("_levels_score")  # with one row
 
 
 def hints(ratings: dict[str, Column], elevation: Column, tier: Column, lines: Column, passengers: Column, last_train: Column) -> Column:
