@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..sources.stages import kept
 from .skew import spread_join
 
+#: Sides that a stage joins: each holds the memory of a group table, and of up to two sorts.
+SIDES_AT_ONCE = 2
+
 
 def fallback(df: DataFrame, out: str, steps: list[tuple[str, Column, int]]) -> DataFrame:
     """df with out, out_source and out_quality: the first step (name, value, quality) whose value isn't null."""
@@ -105,11 +108,14 @@ def datamart(base: DataFrame, key: str, sides: dict[str, tuple[DataFrame, list[s
     """base with the columns of many sides, each called side_column, and `found`, the names of the sides that have the key.
 
     sides: per name a frame and its order columns; of several rows of a key the last in this order counts. All sides have
-    the same key, so base is dealt once for however many joins; sides that Spark knows, or sees on the way, to be below
-    spark.sql.autoBroadcastJoinThreshold are broadcast instead.
+    the same key. What is joined so far becomes a table after every SIDES_AT_ONCE sides: in one stage, a task would hold
+    the groups and sorted rows of all sides at a time, however many there are. Sides that Spark knows, or sees on the way,
+    to be below spark.sql.autoBroadcastJoinThreshold are broadcast instead.
     """
     out, names = base, []
-    for name, (side, order) in sides.items():
+    for i, (name, (side, order)) in enumerate(sides.items()):
+        if i and i % SIDES_AT_ONCE == 0:
+            out = kept(out, "mart")
         w = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
         last = side.where(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1") if order else side.where(F.col(key).isNotNull())
         columns = [c for c in side.columns if c != key and c not in order]

@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from rankloom.operators import normalize, variants
+from rankloom.operators import joins, normalize, variants
 
 
 def plan(df):
@@ -44,3 +44,15 @@ def test_ratings_of_nothing(spark):
     df = spark.createDataFrame([(1, None)], "k int, a double")
     assert [tuple(r) for r in normalize.percentile_ratings(df, "k", {"r": ("a", False)}).collect()] == [(1, None, None)]
     assert normalize.percentile_rating(df.limit(0), "a", "r").count() == 0
+
+
+def test_datamart_joins_few_sides_in_a_stage(spark):
+    base = spark.range(6).select(F.col("id").alias("k"))
+    sides = {f"s{i}": (spark.createDataFrame([(k, k * 10 + i, at) for k in range(i % 3, 5) for at in (0, i)], "k long, v long, at int").where(F.col("at") == i), ["at"] if i % 2 else []) for i in range(1, 8)}
+    got = joins.datamart(base, "k", sides)
+    assert plan(got).count("Join") <= 2
+    for r in got.collect():
+        has = [i for i in range(1, 8) if i % 3 <= r["k"] < 5]
+        assert r["found"] == [f"s{i}" for i in has]
+        assert {i: r[f"s{i}_v"] for i in range(1, 8) if r[f"s{i}_v"] is not None} == {i: r["k"] * 10 + i for i in has}
+        assert "s2_at" in got.columns and "s1_at" not in got.columns
