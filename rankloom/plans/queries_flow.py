@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +19,8 @@ from .spec import CATEGORIES, DEFAULT_WEIGHTS
 QUERIES: dict = {}
 SQL: dict = {}
 HOUR = 3_600_000_000
+#: Stops that a task puts together to trips.
+TASK_STOPS = 500_000
 
 
 def query(name: str, sql: str | None = None):
@@ -101,7 +104,12 @@ def _clock_sql(m: str) -> str:
 def last_trains(spark: SparkSession, sf: str) -> DataFrame:
     """Trips in folders of files; one folder changes and one goes between two runs, and the second reads only the first of these."""
     folder, cache = fresh(spark, "timetables"), fresh(spark, "timetable-cache")
-    items = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    tasks = math.ceil(lines.count() / TASK_STOPS)
+    if tasks > spark.sparkContext.defaultParallelism:  # by rows, as lists of stops take much more than the bytes that are dealt
+        tasks = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        orders, lines = orders.repartition(tasks, "o_orderkey"), lines.repartition(tasks, "l_orderkey")
+    items = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
 
     def trips(later: int, which: str) -> DataFrame:
         m = (F.col("o_custkey") * 37 + F.col("l_linenumber") * 11 + later) % 1440

@@ -79,7 +79,8 @@ def _bucket(key: str, buckets: int) -> Column:
 def _written(df: DataFrame, path: str, key: str, buckets: int, files: int) -> dict[str, str]:
     """Writes df to a new data folder; the folder of each bucket that has rows."""
     folder = f"data/{uuid.uuid4().hex}"
-    dealt = df.withColumn(BUCKET, _bucket(key, buckets)).repartition(F.col(BUCKET), F.pmod(F.xxhash64(*df.columns), F.lit(files)))
+    # a bucket is dealt to several tasks where it has more than spark.sql.adaptive.advisoryPartitionSizeInBytes
+    dealt = df.withColumns({BUCKET: _bucket(key, buckets), "_file": F.pmod(F.xxhash64(*df.columns), F.lit(files))}).hint("rebalance", BUCKET, "_file").drop("_file")
     dealt.write.partitionBy(BUCKET).parquet(f"{path}/{folder}")
     p, fs = _at(df.sparkSession, f"{path}/{folder}")
     names = [f.getPath().getName() for f in fs.listStatus(p)]
@@ -87,7 +88,7 @@ def _written(df: DataFrame, path: str, key: str, buckets: int, files: int) -> di
 
 
 def refresh(df: DataFrame, path: str, key: str, buckets: int = 64, files: int = 1) -> int:
-    """Makes df the whole table; the new version's number. files: how many each bucket has."""
+    """Makes df the whole table; the new version's number. files: into how many parts each bucket is dealt at least; large buckets have more."""
     spark = df.sparkSession
     found = versions(spark, path)
     parts = _written(df, path, key, buckets, files)

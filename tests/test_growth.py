@@ -1,11 +1,13 @@
 """Steps whose tasks must not grow with the rows of a value, a file or a round."""
 
 import bisect
+import glob
 import math
 
 from pyspark.sql import functions as F
 
 from rankloom.operators import joins, normalize, variants
+from rankloom.sources import versions
 
 
 def plan(df):
@@ -56,3 +58,20 @@ def test_datamart_joins_few_sides_in_a_stage(spark):
         assert r["found"] == [f"s{i}" for i in has]
         assert {i: r[f"s{i}_v"] for i in range(1, 8) if r[f"s{i}_v"] is not None} == {i: r["k"] * 10 + i for i in has}
         assert "s2_at" in got.columns and "s1_at" not in got.columns
+
+
+def test_large_buckets_are_written_by_several_tasks(spark, tmp_path):
+    path, size = f"{tmp_path}/t", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "50k")
+    try:
+        rows = spark.range(0, 40_000, 1, 8).select((F.col("id") % 3).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        versions.refresh(rows, path, "k", 1)
+        versions.replace(rows.where("k = 1").withColumn("v", F.lit("new")), spark.range(1, 3), path)
+    finally:
+        spark.conf.set(size, before)
+    first = versions.manifest(spark, path, 0)["parts"]["0"]
+    assert len(glob.glob(f"{path}/{first}/*.parquet")) > 1
+    got = versions.current(spark, path)
+    assert {(r["k"], r["new"]): r["count"] for r in got.groupBy("k", (F.col("v") == "new").alias("new")).count().collect()} == {(0, False): 13_334, (1, True): 13_333}
+    assert versions.current(spark, path, 0).exceptAll(rows).count() == 0 == rows.exceptAll(versions.current(spark, path, 0)).count()
