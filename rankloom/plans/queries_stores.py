@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, joins, unique
 from ..sources import versions
-from ..sources.stages import fresh
+from ..sources.stages import fresh, kept
 from ..sources.tables import table
 from .standins import EVENT_TYPES
 
@@ -43,7 +43,10 @@ def query(name: str, sql: str | None = None):
 def greedy_unique(spark: SparkSession, sf: str) -> DataFrame:
     """Places with more lines first; each takes three photos of its nine, or of six others if it gets none, that no place has."""
     items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("photo"), (F.col("l_suppkey") + 1_000_000).alias("other"))
-    seen = table(spark, sf, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("k"), F.struct("o_orderkey", "l_linenumber").alias("at"), "photo", "other")
+    # order and line as one number: the least of numbers is found in a hash table, that of structs by sorting all rows
+    at = F.col("o_orderkey").cast("decimal(19,0)") * F.lit(2**32).cast("decimal(10,0)") + F.coalesce(F.col("l_linenumber"), F.lit(-(2**31))).cast("decimal(10,0)")
+    met = table(spark, sf, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    seen = kept(met.select(F.col("o_custkey").alias("k"), at.alias("at"), "photo", "other"), "seen")
 
     def first(c: str, n: int) -> DataFrame:
         once = seen.groupBy("k", c).agg(F.min("at").alias("at"))

@@ -4,9 +4,11 @@ import bisect
 import glob
 import math
 
+import duckdb
 from pyspark.sql import functions as F
 
-from rankloom.operators import joins, normalize, variants
+from rankloom.operators import joins, normalize, unique, variants
+from rankloom.plans import catalogue
 from rankloom.sources import versions
 
 
@@ -75,3 +77,19 @@ def test_large_buckets_are_written_by_several_tasks(spark, tmp_path):
     got = versions.current(spark, path)
     assert {(r["k"], r["new"]): r["count"] for r in got.groupBy("k", (F.col("v") == "new").alias("new")).count().collect()} == {(0, False): 13_334, (1, True): 13_333}
     assert versions.current(spark, path, 0).exceptAll(rows).count() == 0 == rows.exceptAll(versions.current(spark, path, 0)).count()
+
+
+def test_first_choices_are_found_without_sorting_all_rows(spark, tmp_path, monkeypatch):
+    big = 2**62
+    orders = [(big + i, i % 7) for i in range(40)]
+    lines = [(big + i, n, (i * 5 + n * 3) % 23, n % 4, float(n * 8)) for i in range(40) for n in range(1, 8)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck, seen, greedy = duckdb.connect(), [], unique.greedy_unique
+    for t in ("orders", "lineitem"):
+        duck.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    monkeypatch.setattr(unique, "greedy_unique", lambda places, *a: seen.append(places) or greedy(places, *a))
+    got = catalogue.QUERIES["q_greedy_unique"](spark, str(tmp_path))
+    rows = sorted(map(tuple, got.select("k", "photo", "slot").collect()))
+    assert rows and rows == sorted(duck.execute(f"select k, photo, slot from ({catalogue.ORACLE_SQL['q_greedy_unique']})").fetchall())
+    assert "SortAggregate" not in seen[0]._jdf.queryExecution().executedPlan().toString()
