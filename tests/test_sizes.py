@@ -31,6 +31,62 @@ def test_count_near_has_no_pairs_of_rows(spark, monkeypatch):
     assert [s.count() for s in seen] == [1]
 
 
+def polygon(y, x, size=0.1):
+    return [{"lat": a, "lon": b} for a, b in ((y, x), (y, x + size), (y + size, x + size))]
+
+
+def test_cells_of_polygons_have_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "CELL_EDGES", 1_000, raising=False)
+    seen, kept = {}, spatial.kept
+    monkeypatch.setattr(spatial, "kept", lambda df, what: seen.__setitem__(what, df) or kept(df, what))
+    areas = spark.createDataFrame([(i, polygon(35 + i * 0.001, 139 + i * 0.003)) for i in range(60)], "a int, ring array<struct<lat: double, lon: double>>")
+    points = spark.createDataFrame([(i, 35.00037 + i * 0.0021, 139.00053 + i * 0.0047) for i in range(60)], "k int, lat double, lng double")
+    got = {tuple(r) for r in spatial.within_polygons(points, areas, "k", "a").collect()}
+    inside = lambda y, x: 0 < y < x < 0.1
+    assert got == {(k, a) for k in range(60) for a in range(60) if inside(0.00037 + k * 0.0021 - a * 0.001, 0.00053 + k * 0.0047 - a * 0.003)} and got
+    assert tasks(seen["polygon-cells"]) > 4
+
+
+def test_lists_at_a_place_are_bounded(spark, monkeypatch):
+    """However many rows a table has, as all pairs of two lists are in memory at once; and rows without a key, or with one of several parts, are as before."""
+    monkeypatch.setattr(spatial, "LISTED", 10)
+    monkeypatch.setattr(spatial, "SHARE", 2)
+    seen, kept = [], spatial.kept
+    monkeypatch.setattr(spatial, "kept", lambda df, what: (seen.append(kept(df, what)) or seen[-1]) if what == "listed" else kept(df, what))
+    points = spark.range(300).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit(35.03).alias("lat"), F.lit(139.06).alias("lng"))
+    areas = spark.createDataFrame([((i, str(i)), polygon(35.0, 139.0)) for i in range(25)], "a struct<i: int, s: string>, ring array<struct<lat: double, lon: double>>")
+    got = {(r["k"], *r["a"]) for r in spatial.within_polygons(points, areas, "k", "a").collect()}
+    assert got == {(k or None, i, str(i)) for k in range(300) for i in range(25)}
+    sizes = [[r[0] for r in lists.select(F.size(f"{side}_rows")).collect()] for lists, side in zip(seen, ("_r", "_l"))]
+    assert [sum(s) for s in sizes] == [25, 300] and max(map(max, sizes)) <= 10
+
+
+def test_copies_of_right_rows_are_made_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_PAIRS", 100)
+    left, right = spark.range(50).select("id", F.lit(1).alias("c")), spark.range(40).select(F.col("id").alias("r"), F.lit(1).alias("c")).coalesce(1)
+    got = skew.spread_join(left, right, ["c"], sizes=(F.lit(1), F.lit(1)))
+    assert got.select("id", "r").distinct().count() == got.count() == 2_000
+    assert "RoundRobinPartitioning(4)" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_areas_query_where_places_repeat(spark, tmp_path, monkeypatch):
+    """Places and areas come back every 97 * 89 keys."""
+    monkeypatch.setattr(spatial, "LISTED", 3)
+    keys = [k + 8_633 * i for k in range(0, 8_633, 211) for i in range(7)]
+    spark.createDataFrame([(k, f"c{k}", k % 3, "s") for k in keys], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k + 5, k % 3) for k in keys], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(i, f"n{i}", 0) for i in range(2)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(keys[i], "view", 1.0) for i in (1, 1, 4)], "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    for name in ("customer", "supplier", "nation", "events"):
+        duck.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    rel = duck.execute(catalogue.ORACLE_SQL["q_points_in_areas"])
+    names = [d[0] for d in rel.description]
+    want = sorted(rel.fetchall())
+    df = catalogue.QUERIES["q_points_in_areas"](spark, str(tmp_path))
+    assert len(want) > 1_000 and sorted(map(tuple, df.select(*names).collect())) == want
+
+
 def test_codes_of_cells_may_repeat(spark):
     lines = spark.createDataFrame([(1, "x,10001,a,60000"), (90_001, "x,10001,b,140001,700000")], "k long, line string")
     got = readers.positional_cells(lines, "line", high=F.greatest(F.lit(500_000), F.col("k") * 10), keep=("k",))
