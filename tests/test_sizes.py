@@ -63,6 +63,7 @@ def test_lists_at_a_place_are_bounded(spark, monkeypatch):
 
 def test_copies_of_right_rows_are_made_by_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(skew, "TASK_PAIRS", 100)
+    monkeypatch.setattr(skew, "TASK_COPIES", 100, raising=False)
     left, right = spark.range(50).select("id", F.lit(1).alias("c")), spark.range(40).select(F.col("id").alias("r"), F.lit(1).alias("c")).coalesce(1)
     got = skew.spread_join(left, right, ["c"], sizes=(F.lit(1), F.lit(1)))
     assert got.select("id", "r").distinct().count() == got.count() == 2_000
